@@ -65,20 +65,22 @@ def a03(spark, sf):
 
 @query(
     "a04_stats_sample",
-    """SELECT o_custkey, round(avg(o_totalprice), 4) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 1) AS std_dev,
-       round(min(o_totalprice), 4) AS "min", round(max(o_totalprice), 4) AS "max", count(*) AS "count"
-FROM orders GROUP BY o_custkey
+    """WITH o AS (SELECT o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+SELECT o_custkey, round(avg(cents), 4) AS mean, round(coalesce(stddev_samp(cents), 0)) AS std_dev,
+       CAST(min(cents) AS DOUBLE) AS "min", CAST(max(cents) AS DOUBLE) AS "max", count(*) AS "count"
+FROM o GROUP BY o_custkey
 UNION ALL
-SELECT CAST(-1 AS BIGINT), coalesce(avg(o_totalprice), 0), coalesce(stddev_samp(o_totalprice), 0),
-       coalesce(min(o_totalprice), 0), coalesce(max(o_totalprice), 0), count(*)
-FROM orders WHERE o_totalprice < 0""",
+SELECT CAST(-1 AS BIGINT), coalesce(avg(cents), 0), coalesce(stddev_samp(cents), 0),
+       CAST(coalesce(min(cents), 0) AS DOUBLE), CAST(coalesce(max(cents), 0) AS DOUBLE), count(*)
+FROM o WHERE cents < 0""",
 )
 def a04(spark, sf):
-    orders = table(spark, sf, "orders")
-    by_customer = stats.sample_stats(orders, ["o_custkey"], "o_totalprice")
-    none = stats.sample_stats(orders.filter(F.col("o_totalprice") < 0), [], "o_totalprice")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents")
+    orders = table(spark, sf, "orders").select("o_custkey", cents)
+    by_customer = stats.sample_stats(orders, ["o_custkey"], "cents")
+    none = stats.sample_stats(orders.filter(F.col("cents") < 0), [], "cents")
     both = by_customer.unionByName(none.withColumn("o_custkey", F.lit(-1).cast("bigint")))
-    return rounded(rounded(both, 4, "mean", "min", "max"), 1, "std_dev")
+    return rounded(rounded(both, 4, "mean"), 0, "std_dev")
 
 
 @query(

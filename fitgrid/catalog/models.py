@@ -73,7 +73,7 @@ def one_model(spark, df, features, spec: ModelSpec):
 
 @query("m02_svm_linear_ovr")
 def m02(spark, sf):
-    spec = ModelSpec("SVC (linear)", "scaled", lambda d, k, seed, x, y: classify.linear_svc_ovr(x, y))
+    spec = ModelSpec("SVC (linear)", "scaled", lambda d, k, seed, x, y: classify.linear_svc(x, y, k))
     return one_model(spark, language_table(spark, sf), LANGUAGE_FEATURES, spec)
 
 
@@ -112,13 +112,11 @@ def m05(spark, sf):
     spec = REGISTRY["SVC"]
     with hold_out(language_table(spark, sf), "doc_id", LANGUAGE_FEATURES, "label") as data:
         pipeline = fit_spec(data, spec)
-        mapped, model = pipeline.stages[0], pipeline.stages[-1]
+        mapped, model = pipeline.stages
         features = mapped.transform(data.test)
         rows = []
-        for vote, predicted in (
-            ("margin", model.transform(features)),
-            ("hard", classify.hard_vote(features, model, "scaled_rbf")),
-        ):
+        for vote in ("margin", "hard"):
+            predicted = model.with_vote(vote).transform(features)
             rows.append((f"SVC ({vote})", spec.features, data.n_train, data.n_test, *quality(predicted)))
     return spark.createDataFrame(rows, MATRIX)
 

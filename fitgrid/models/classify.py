@@ -11,35 +11,32 @@ from pyspark.ml.classification import (
     LinearSVC,
     MultilayerPerceptronClassifier,
     OneVsRest,
-    OneVsRestModel,
     RandomForestClassifier,
 )
-from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrays import vote_first_positive
 from .kernel import RandomFourierFeatures
+from .svm import LinearMachine
 
 DEEPEST = 30
 PARALLEL_FITS = 4
 
 
-def linear_svc(features: str = "features", label: str = "label", max_iter: int = 50, reg: float = 0.01) -> Estimator:
-    """Binary linear machine with hinge loss."""
-    return LinearSVC(
-        featuresCol=features, labelCol=label, maxIter=max_iter, regParam=reg, aggregationDepth=2, standardization=False
-    )
+def linear_svc(
+    features: str = "features", label: str = "label", classes: int = 2, cost: float = 1.0, vote: str = "margin"
+) -> Estimator:
+    """Linear machine with squared hinge loss; one machine per class beyond two."""
+    return LinearMachine(features, label, classes, cost, vote=vote)
 
 
-def linear_svc_ovr(
-    features: str = "features", label: str = "label", max_iter: int = 50, reg: float = 0.001, parallelism: int = PARALLEL_FITS
+def linear_svc_hinge(
+    features: str = "features", label: str = "label", max_iter: int = 100, reg: float = 0.01, parallelism: int = PARALLEL_FITS
 ) -> Estimator:
-    """One linear machine per class; the largest margin wins."""
-    return OneVsRest(
-        classifier=linear_svc(features, label, max_iter, reg),
-        featuresCol=features,
-        labelCol=label,
-        parallelism=parallelism,
-    )
+    """Plain hinge loss, one machine per class, for very wide or sparse vectors.
+
+    Gradient steps need no second moments, but hundreds of passes.
+    """
+    binary = LinearSVC(featuresCol=features, labelCol=label, maxIter=max_iter, regParam=reg, tol=1e-3, standardization=False)
+    return OneVsRest(classifier=binary, featuresCol=features, labelCol=label, parallelism=parallelism)
 
 
 def rbf_svm(
@@ -49,14 +46,13 @@ def rbf_svm(
     n_features: int = 200,
     seed: int = 42,
     classes: int = 2,
-    max_iter: int = 50,
-    reg: float = 0.001,
+    cost: float = 1.0,
+    vote: str = "margin",
 ) -> Estimator:
     """Gaussian-kernel machine: random Fourier features and a linear machine."""
     mapped = f"{features}_rbf"
     stage = RandomFourierFeatures(features, mapped, gamma, n_features, seed)
-    build = linear_svc if classes == 2 else linear_svc_ovr
-    return Pipeline(stages=[stage, build(mapped, label, max_iter, reg)])
+    return Pipeline(stages=[stage, linear_svc(mapped, label, classes, cost, vote)])
 
 
 def decision_tree(
@@ -101,19 +97,6 @@ def mlp(
     )
 
 
-def hard_vote(df: DataFrame, model: OneVsRestModel, features: str = "features", out: str = "prediction") -> DataFrame:
-    """Label of the lowest class whose own machine says yes; class 0 when none does."""
-    voted = df
-    marks = []
-    for i, binary in enumerate(model.models):
-        mark = f"_vote_{i}"
-        binary = binary.copy({binary.getParam("predictionCol"): mark, binary.getParam("rawPredictionCol"): f"_raw_{i}"})
-        voted = binary.transform(voted).drop(f"_raw_{i}")
-        marks.append(mark)
-    votes = F.array(*[F.col(m).cast("int") for m in marks])
-    return voted.withColumn(out, vote_first_positive(votes).cast("double")).drop(*marks)
-
-
 @dataclass(frozen=True)
 class ModelSpec:
     """A named way to train: which features it sees and how its estimator is built."""
@@ -136,7 +119,7 @@ REGISTRY = {
         ModelSpec(
             "LinearSVC",
             "scaled",
-            lambda d, k, seed, x, y: linear_svc(x, y) if k == 2 else linear_svc_ovr(x, y),
+            lambda d, k, seed, x, y: linear_svc(x, y, k),
         ),
         ModelSpec("DecisionTreeClassifier", "raw", lambda d, k, seed, x, y: decision_tree(x, y, seed=seed)),
         ModelSpec("RandomForestClassifier", "raw", lambda d, k, seed, x, y: random_forest(x, y, seed=seed)),

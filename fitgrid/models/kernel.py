@@ -13,11 +13,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Transformer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import doubles, squared_distance
+from .svm import as_array
 
 MAX_LANDMARKS = 10_000
 
@@ -46,7 +46,7 @@ def rbf_weights(d: int, n_features: int, gamma: float, seed: int) -> tuple[np.nd
 
 
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol):
-    """Pipeline stage that maps a vector column to random Fourier features."""
+    """Pipeline stage: random Fourier features of a vector or array column, as an array."""
 
     def __init__(self, inputCol: str, outputCol: str, gamma: float, n_features: int = 200, seed: int = 42):
         super().__init__()
@@ -70,13 +70,11 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol):
                 yield pd.Series(list(mapped))
 
         source, target = self.getInputCol(), self.getOutputCol()
-        return df.withColumn(target, array_to_vector(project(vector_to_array(source))))
+        return df.withColumn(target, project(as_array(df, source)))
 
 
 def rbf_features(
     df: DataFrame, col: str, gamma: float, n_features: int = 200, seed: int = 42, out: str = "rbf"
 ) -> DataFrame:
     """Add random Fourier features of an array column as an array."""
-    stage = RandomFourierFeatures("_v", "_rbf", gamma, n_features, seed)
-    mapped = stage.transform(df.withColumn("_v", array_to_vector(F.col(col).cast("array<double>"))))
-    return mapped.withColumn(out, vector_to_array("_rbf")).drop("_v", "_rbf")
+    return RandomFourierFeatures(col, out, gamma, n_features, seed).transform(df)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_CENTRES = 10_000
+PARALLEL_FITS = 5
 
 
 @dataclass(frozen=True)
@@ -97,12 +99,15 @@ def fit_kmeans_best_of(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
-        best, costs, chosen = None, {}, None
-        for seed in seeds:
-            model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
-            costs[seed] = float(model.summary.trainingCost)
-            if chosen is None or costs[seed] < costs[chosen]:
-                best, chosen = model, seed
+        data.count()
+
+        def fit(seed: int) -> KMeansModel:
+            return KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
+
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            models = dict(zip(seeds, pool.map(fit, seeds)))
+        costs = {seed: float(m.summary.trainingCost) for seed, m in models.items()}
     finally:
         data.unpersist()
-    return BestOf(best, costs, chosen)
+    chosen = min(seeds, key=lambda s: (costs[s], s))
+    return BestOf(models[chosen], costs, chosen)

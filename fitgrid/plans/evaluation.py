@@ -48,7 +48,8 @@ def hold_out(
     ``label`` holds class codes 0..k-1. Columns: key, label, raw, scaled.
     """
     features = list(features)
-    split = random_split(df.select(key, *features, label), key, test_size, seed)
+    base = df.select(key, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    split = random_split(base, key, test_size, seed)
     scaler = fit_scaler(split.filter(F.col("part") == "train"), features)
     scaled = scaler.transform(split, features, "_z")
     raw_vector = VectorAssembler(inputCols=features, outputCol="raw")
@@ -74,6 +75,7 @@ def hold_out(
         )
     finally:
         both.unpersist()
+        base.unpersist()
 
 
 def fit_spec(data: HoldOut, spec: ModelSpec, seed: int = 42):
@@ -131,9 +133,13 @@ def run_results(
 ) -> DataFrame:
     """One row per seed, numbered by ``run``; split and model both use the seed."""
     rows = []
-    for run, seed in enumerate(seeds):
-        with hold_out(df, key, features, label, test_size, seed) as data:
-            rows.append((run, seed, *score_spec(data, spec, seed)))
+    base = df.select(key, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for run, seed in enumerate(seeds):
+            with hold_out(base, key, features, label, test_size, seed) as data:
+                rows.append((run, seed, *score_spec(data, spec, seed)))
+    finally:
+        base.unpersist()
     return df.sparkSession.createDataFrame(rows, f"run int, seed int, {MATRIX}")
 
 
