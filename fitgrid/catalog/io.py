@@ -94,18 +94,17 @@ def s06(spark, sf):
     return back.withColumns({c: F.round(c, 6) for c in rounded})
 
 
-def _unit(text: str) -> str:
-    return f"((('0x' || substr(md5({text}), 1, 8))::BIGINT + 1.0::DOUBLE) / 4294967296.0::DOUBLE)"
+def _unit(text: str, at: int = 1) -> str:
+    return f"((('0x' || substr(md5({text}), {at}, 8))::BIGINT + 1.0::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
 def _blob_sql(k: int, d: int, seed: int) -> str:
     parts = []
     for j in range(d):
         centre = f"({_unit(f"'{seed}:c:' || c || ':{j}'")} * 2 - 1) * 10"
-        normal = (
-            f"sqrt(-2 * ln({_unit(f"'{seed}:p:' || o_orderkey || ':{j}:r'")})) * "
-            f"cos(2 * pi() * {_unit(f"'{seed}:p:' || o_orderkey || ':{j}:a'")})"
-        )
+        pair = f"'{seed}:p:' || o_orderkey || ':{j // 2}'"
+        wave = "cos" if j % 2 == 0 else "sin"
+        normal = f"sqrt(-2 * ln({_unit(pair)})) * {wave}({_unit(pair, 9)} * 2 * pi())"
         parts.append(
             f"SELECT o_orderkey, c AS cluster, CAST({j} AS INTEGER) AS pos, round({centre} + {normal}, 6) AS value FROM o"
         )

@@ -24,7 +24,7 @@ from ..functions.arrays import argmax, vote_first_positive
 from ..plans.sums import partition_sums, rows_as_matrix
 
 MAX_WIDTH = 2_000
-UNROLLED = 400
+UNROLLED = 64
 
 
 def as_array(df: DataFrame, name: str) -> Column:

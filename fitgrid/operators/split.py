@@ -62,7 +62,10 @@ def random_split(
         if size == 0:
             return df.withColumn("part", F.lit("train"))
         order = ["_hash", *key]
-        border = kth_row(hashed, order, size, rows, sort_below)
+        share = size / rows
+        spread = 6.0 * math.sqrt(share * (1.0 - share) / rows) + 1.0 / HASH_SPACE
+        guess = (int(max(0.0, share - spread) * HASH_SPACE), int(min(1.0, share + spread) * HASH_SPACE))
+        border = kth_row(hashed, order, size, rows, sort_below, guess)
         chosen = at_or_before(hashed, order, border)
     else:
         chosen = F.col("_hash") < F.lit(int(test_size * HASH_SPACE))

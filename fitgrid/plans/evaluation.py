@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -18,12 +19,26 @@ from ..operators.split import random_split
 from ..operators.stats import sample_stats
 
 ROWS_PER_TASK = 20_000
+PARALLEL_FITS = 4
 
 
-def right_sized(df: DataFrame, rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Fewer partitions for a small training set: every fit runs many short jobs."""
-    wanted = max(1, math.ceil(rows / rows_per_task))
-    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+def right_sized(df: DataFrame, key: str, rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Partitions for training: every fit runs many short jobs over them.
+
+    A small table gets as many as its rows can use, at most one per core; a
+    large one keeps the partitions it has.
+    """
+    have = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    useful = max(1, math.ceil(rows / rows_per_task))
+    wanted = min(useful, max(have, cores))
+    return df if wanted == have else df.repartition(wanted, key)
+
+
+def in_parallel(fit: Callable, items: Iterable) -> list:
+    """Independent fits share the cluster, a few at a time."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(fit, items))
 
 
 @dataclass(frozen=True)
@@ -49,7 +64,8 @@ def hold_out(
     """
     features = list(features)
     base = df.select(key, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
-    split = random_split(base, key, test_size, seed)
+    sized = right_sized(base, key, base.count())
+    split = random_split(sized, key, test_size, seed)
     scaler = fit_scaler(split.filter(F.col("part") == "train"), features)
     scaled = scaler.transform(split, features, "_z")
     raw_vector = VectorAssembler(inputCols=features, outputCol="raw")
@@ -62,11 +78,9 @@ def hold_out(
         sizes = both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top")).collect()
         n = {r["part"]: r["n"] for r in sizes}
         classes = int(max(r["top"] for r in sizes)) + 1
-        total = sum(n.values())
-        whole = right_sized(both, total)
         yield HoldOut(
-            whole.filter(F.col("part") == "train"),
-            whole.filter(F.col("part") == "test"),
+            both.filter(F.col("part") == "train"),
+            both.filter(F.col("part") == "test"),
             n.get("train", 0),
             n.get("test", 0),
             len(features),
@@ -118,7 +132,7 @@ def model_matrix(
     """One row per model: hold-out quality on the same split and scaling."""
     models = models or REGISTRY
     with hold_out(df, key, features, label, test_size, seed) as data:
-        rows = [score_spec(data, spec, seed) for spec in models.values()]
+        rows = in_parallel(lambda spec: score_spec(data, spec, seed), models.values())
     return df.sparkSession.createDataFrame(rows, MATRIX)
 
 
@@ -132,12 +146,16 @@ def run_results(
     test_size: float = 0.2,
 ) -> DataFrame:
     """One row per seed, numbered by ``run``; split and model both use the seed."""
-    rows = []
     base = df.select(key, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(numbered: tuple[int, int]) -> tuple:
+        run, seed = numbered
+        with hold_out(base, key, features, label, test_size, seed) as data:
+            return run, seed, *score_spec(data, spec, seed)
+
     try:
-        for run, seed in enumerate(seeds):
-            with hold_out(base, key, features, label, test_size, seed) as data:
-                rows.append((run, seed, *score_spec(data, spec, seed)))
+        base.count()
+        rows = in_parallel(one, enumerate(seeds))
     finally:
         base.unpersist()
     return df.sparkSession.createDataFrame(rows, f"run int, seed int, {MATRIX}")

@@ -38,26 +38,35 @@ def kth_row(
     k: int,
     total: int | None = None,
     sort_below: int = SORT_BELOW,
+    guess: tuple | None = None,
 ) -> tuple:
-    """Ordinals of ``order_by`` in the row at 1-based position ``k``."""
+    """Ordinals of ``order_by`` in the row at 1-based position ``k``.
+
+    ``guess`` is an interval of the leading column that probably holds the row;
+    it saves the first sketch and, being counted exactly, never changes the result.
+    """
     names = list(order_by)
     keys = df.select(*[ordinal(df, n).alias(f"o{i}") for i, n in enumerate(names)])
     inside = keys.count() if total is None else total
     if not 1 <= k <= inside:
         raise ValueError(f"position {k} is outside 1..{inside}")
-    return tuple(_descend(keys, keys.columns, k, inside, sort_below))
+    return tuple(_descend(keys, keys.columns, k, inside, sort_below, guess))
 
 
-def _descend(keys: DataFrame, cols: list[str], k: int, inside: int, sort_below: int) -> list:
+def _descend(
+    keys: DataFrame, cols: list[str], k: int, inside: int, sort_below: int, guess: tuple | None = None
+) -> list:
     head = F.col(cols[0])
     if inside > sort_below and not isinstance(keys.schema[cols[0]].dataType, T.NumericType):
         raise TypeError("the leading order column must be a number, date or timestamp")
     scope = keys
     while inside > sort_below:
-        share, slack = k / inside, 2.0 / ACCURACY
-        low, high = scope.agg(
-            F.percentile_approx(head, [max(0.0, share - slack), min(1.0, share + slack)], ACCURACY)
-        ).first()[0]
+        if guess:
+            (low, high), guess = guess, None
+        else:
+            share, slack = k / inside, 2.0 / ACCURACY
+            wanted = [max(0.0, share - slack), min(1.0, share + slack)]
+            low, high = scope.agg(F.percentile_approx(head, wanted, ACCURACY)).first()[0]
         below, upto_low, below_high, upto_high = scope.agg(
             F.count_if(head < F.lit(low)),
             F.count_if(head <= F.lit(low)),
