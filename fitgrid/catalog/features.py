@@ -142,7 +142,8 @@ def f09(spark, sf):
 p AS (SELECT *, CASE WHEN r <= floor(total * 0.8) THEN 'train' ELSE 'test' END AS part FROM n),
 s AS (SELECT avg(o_totalprice) AS m1, stddev_pop(o_totalprice) AS d1, avg(o_custkey) AS m2, stddev_pop(o_custkey) AS d2
       FROM p WHERE part = 'train')
-SELECT o_orderkey, part, round((o_totalprice - m1) / d1, 6) AS o_totalprice, round((o_custkey - m2) / d2, 6) AS o_custkey
+SELECT o_orderkey, part, round((o_totalprice - m1) / d1, 6) + 0.0::DOUBLE AS o_totalprice,
+       round((o_custkey - m2) / d2, 6) + 0.0::DOUBLE AS o_custkey
 FROM p, s""",
 )
 def f10(spark, sf):
@@ -155,7 +156,7 @@ def f10(spark, sf):
 
 @query(
     "f11_array_normalise",
-    """SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, round((v - 0.5) / 0.5, 6) AS value FROM
+    """SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, round((v - 0.5) / 0.5, 6) + 0.0::DOUBLE AS value FROM
 (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)""",
 )
 def f11(spark, sf):
@@ -170,7 +171,7 @@ def f11(spark, sf):
 s AS (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS d FROM part)
 SELECT p_partkey, algorithm,
        CASE WHEN algorithm IN ('SVC', 'LinearSVC', 'MLPClassifier') THEN 'scaled' ELSE 'raw' END AS feature_set,
-       round(CASE WHEN algorithm IN ('SVC', 'LinearSVC', 'MLPClassifier') THEN (p_retailprice - m) / d ELSE p_retailprice END, 6) AS value
+       round(CASE WHEN algorithm IN ('SVC', 'LinearSVC', 'MLPClassifier') THEN (p_retailprice - m) / d ELSE p_retailprice END, 6) + 0.0::DOUBLE AS value
 FROM a, s""",
 )
 def f12(spark, sf):

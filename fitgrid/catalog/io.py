@@ -106,7 +106,7 @@ def _blob_sql(k: int, d: int, seed: int) -> str:
         wave = "cos" if j % 2 == 0 else "sin"
         normal = f"sqrt(-2 * ln({_unit(pair)})) * {wave}({_unit(pair, 9)} * 2 * pi())"
         parts.append(
-            f"SELECT o_orderkey, c AS cluster, CAST({j} AS INTEGER) AS pos, round({centre} + {normal}, 6) AS value FROM o"
+            f"SELECT o_orderkey, c AS cluster, CAST({j} AS INTEGER) AS pos, round({centre} + {normal}, 6) + 0.0::DOUBLE AS value FROM o"
         )
     return f"WITH o AS (SELECT o_orderkey, CAST(o_orderkey % {k} AS INTEGER) AS c FROM orders)\n" + "\nUNION ALL\n".join(parts)
 

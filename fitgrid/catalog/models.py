@@ -52,7 +52,7 @@ def _cramer_sql() -> str:
     for k in range(3):
         swapped = [[y[i] if j == k else a[i][j] for j in range(3)] for i in range(3)]
         betas.append(f"{det(swapped)} / {det(a)} AS b{k}")
-    terms = [f"SELECT '{c}' AS term, round(b{i}, 3) AS value FROM b" for i, c in enumerate(x)]
+    terms = [f"SELECT '{c}' AS term, round(b{i}, 3) + 0.0::DOUBLE AS value FROM b" for i, c in enumerate(x)]
     terms.append("SELECT 'intercept', round(my - b0*m0 - b1*m1 - b2*m2, 3) FROM b")
     return (
         f"WITH m AS (SELECT {', '.join(moments)} FROM lineitem),\n"
@@ -179,7 +179,7 @@ def _lloyd_sql(rounds: int) -> str:
         )
     return (
         "WITH " + ",\n".join(ctes) + f"\nSELECT CAST(cluster AS INTEGER) AS cluster, CAST(pos - 1 AS INTEGER) AS pos, "
-        f"round(v, 4) AS value FROM (SELECT cluster, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM c{rounds})"
+        f"round(v, 4) + 0.0::DOUBLE AS value FROM (SELECT cluster, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM c{rounds})"
     )
 
 

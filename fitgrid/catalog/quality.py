@@ -158,7 +158,7 @@ m AS (SELECT vec_id, cluster, max(CASE WHEN cluster = other AND n > 1 THEN s / (
 @query(
     "e05_silhouette_sq",
     silhouette_sql("list_distance(a.x, b.x) * list_distance(a.x, b.x)")
-    + "\nSELECT round(avg((b - a) / greatest(a, b)), 9) AS silhouette FROM m",
+    + "\nSELECT round(avg((b - a) / greatest(a, b)), 9) + 0.0::DOUBLE AS silhouette FROM m",
 )
 def e05(spark, sf):
     out = silhouette_squared(clustered(spark, sf), "embedding", "cluster")
@@ -168,7 +168,7 @@ def e05(spark, sf):
 @query(
     "e06_silhouette_exact",
     silhouette_sql("list_distance(a.x, b.x)")
-    + "\nSELECT vec_id, cluster, round((b - a) / greatest(a, b), 6) AS silhouette FROM m",
+    + "\nSELECT vec_id, cluster, round((b - a) / greatest(a, b), 6) + 0.0::DOUBLE AS silhouette FROM m",
 )
 def e06(spark, sf):
     out = silhouette_exact(clustered(spark, sf), "vec_id", "embedding", "cluster")

@@ -17,10 +17,10 @@ from .base import query, table
     """SELECT o_custkey,
        printf('%.6f', avg(o_totalprice)) || '±' || coalesce(printf('%.6f', stddev_samp(o_totalprice)), 'nan') AS six,
        printf('%.2f', avg(o_totalprice)) || '±' || coalesce(printf('%.2f', stddev_samp(o_totalprice)), 'nan') AS two
-FROM (SELECT o_custkey, round(o_totalprice / 1000, 2) AS o_totalprice FROM orders) GROUP BY o_custkey""",
+FROM (SELECT o_custkey, floor(o_totalprice / 1000) AS o_totalprice FROM orders) GROUP BY o_custkey""",
 )
 def x01(spark, sf):
-    orders = table(spark, sf, "orders").select("o_custkey", F.round(F.col("o_totalprice") / 1000, 2).alias("price"))
+    orders = table(spark, sf, "orders").select("o_custkey", F.floor(F.col("o_totalprice") / 1000).cast("double").alias("price"))
     stats = group_stats(orders, ["o_custkey"], ["price"], ("mean", "std"), digits=None)
     mean, std = F.col("price_mean"), F.col("price_std")
     return stats.select("o_custkey", fmt_mean_std(mean, std, 6).alias("six"), fmt_mean_std(mean, std, 2).alias("two"))

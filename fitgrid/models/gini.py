@@ -21,34 +21,49 @@ def gini_root_split(
     """
     classes = class_values(df, label)
     names = [f"c{i}" for i in range(len(classes))]
-    found = []
-    for feature in features:
-        counts = (
-            df.select(F.col(feature).cast("double").alias("x"), F.col(label).alias("y"))
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-            .groupBy("x")
-            .agg(*[F.count_if(F.col("y") == F.lit(c)).alias(n) for n, c in zip(names, classes)])
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        )
-        try:
-            total = counts.agg(*[F.sum(n) for n in names]).first()
-            upto = running_totals(counts, ["x"], {f"l{n}": F.col(n) for n in names}, rows_per_range)
-            left = [F.col(f"l{n}").cast("double") for n in names]
-            right = [F.lit(float(t)) - c for t, c in zip(total, left)]
-            n_left, n_right = sum(left[1:], left[0]), sum(right[1:], right[0])
-            rows = float(sum(total))
-            impure_left = n_left - sum([c * c for c in left[1:]], left[0] * left[0]) / n_left
-            impure_right = n_right - sum([c * c for c in right[1:]], right[0] * right[0]) / n_right
-            scored = upto.withColumn("n_left", n_left).filter(n_right > 0).withColumn(
-                "impurity", (impure_left + impure_right) / F.lit(rows)
-            )
-            best = scored.agg(
-                F.min_by(F.struct("x", "impurity", "n_left"), F.struct(F.round("impurity", 12).alias("i"), F.col("x").alias("x")))
-            ).first()[0]
-            if best:
-                found.append((feature, best["x"], best["impurity"], int(best["n_left"]), int(rows - best["n_left"])))
-        finally:
-            counts.unpersist()
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
+    counts = (
+        df.select(F.col(label).alias("y"), each.alias("v"))
+        .filter(F.col("v.x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("v.feature", "v.x")
+        .agg(*[F.count_if(F.col("y") == F.lit(c)).alias(n) for n, c in zip(names, classes)])
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    try:
+        sums = counts.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names]).collect()
+        totals = {r["feature"]: [r[n] for n in names] for r in sums}
+        found = [
+            _best_split(counts.filter(F.col("feature") == f), f, names, totals[f], rows_per_range)
+            for f in features
+            if f in totals
+        ]
+    finally:
+        counts.unpersist()
     return df.sparkSession.createDataFrame(
-        found, "feature string, threshold double, impurity double, n_left bigint, n_right bigint"
+        [f for f in found if f],
+        "feature string, threshold double, impurity double, n_left bigint, n_right bigint",
+    )
+
+
+def _best_split(
+    counts: DataFrame, feature: str, names: Sequence[str], total: Sequence[int], rows_per_range: int
+) -> tuple | None:
+    upto = running_totals(counts, ["x"], {f"l{n}": F.col(n) for n in names}, rows_per_range)
+    left = [F.col(f"l{n}").cast("double") for n in names]
+    right = [F.lit(float(t)) - c for t, c in zip(total, left)]
+    n_left, n_right = sum(left[1:], left[0]), sum(right[1:], right[0])
+    rows = float(sum(total))
+
+    def impure(parts, size):
+        return size - sum([c * c for c in parts[1:]], parts[0] * parts[0]) / size
+
+    scored = (
+        upto.withColumn("n_left", n_left)
+        .filter(n_right > 0)
+        .withColumn("impurity", (impure(left, n_left) + impure(right, n_right)) / F.lit(rows))
     )
+    place = F.struct(F.round("impurity", 12).alias("i"), F.col("x").alias("x"))
+    best = scored.agg(F.min_by(F.struct("x", "impurity", "n_left"), place)).first()[0]
+    if best is None:
+        return None
+    return feature, best["x"], best["impurity"], int(best["n_left"]), int(rows - best["n_left"])

@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, duck, sf, name):
     result = duck.execute(driver.oracle_sql()[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == sorted(df.columns)
-    assert ordered(df.collect(), df.columns) == ordered(result.fetchall(), names)
+    assert repr(ordered(df.collect(), df.columns)) == repr(ordered(result.fetchall(), names))
 
 
 @pytest.mark.parametrize("name", sorted(set(driver.queries()) - set(driver.oracle_sql()) - SLOW))
