@@ -90,10 +90,12 @@ def mlp(
     label: str = "label",
     hidden: tuple[int, ...] = (100, 50),
     max_iter: int = 500,
+    tol: float = 1e-4,
     seed: int = 42,
 ) -> Estimator:
+    """Perceptron with two hidden layers; stops once the loss no longer falls by ``tol``."""
     return MultilayerPerceptronClassifier(
-        featuresCol=features, labelCol=label, layers=[width, *hidden, classes], maxIter=max_iter, seed=seed
+        featuresCol=features, labelCol=label, layers=[width, *hidden, classes], maxIter=max_iter, tol=tol, seed=seed
     )
 
 

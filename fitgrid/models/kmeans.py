@@ -10,14 +10,27 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.sums import partition_sums, rows_as_matrix
+
 MAX_CENTRES = 10_000
 PARALLEL_FITS = 5
 
 
+def nearest_centres(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre, the lowest on ties, and the squared distance to it."""
+    best = np.zeros(len(points), dtype=np.int32)
+    cost = np.full(len(points), np.inf)
+    for i, centre in enumerate(centres):
+        gap = points - centre
+        far = np.einsum("ij,ij->i", gap, gap)
+        closer = far < cost
+        best[closer], cost[closer] = i, far[closer]
+    return best, cost
+
+
 @dataclass(frozen=True)
 class Centres:
     """Cluster centres; at most ``MAX_CENTRES`` of them, so they travel with the task."""
@@ -41,13 +54,7 @@ class Centres:
         @F.pandas_udf("cluster int, cost double")
         def nearest(x: pd.Series) -> pd.DataFrame:
             points = np.stack(x.to_numpy()) if len(x) else np.empty((0, matrix.shape[1]))
-            best = np.zeros(len(points), dtype=np.int32)
-            cost = np.full(len(points), np.inf)
-            for i, centre in enumerate(matrix):
-                gap = points - centre
-                far = np.einsum("ij,ij->i", gap, gap)
-                closer = far < cost
-                best[closer], cost[closer] = i, far[closer]
+            best, cost = nearest_centres(points, matrix)
             return pd.DataFrame({"cluster": best, "cost": cost})
 
         return nearest(col)
@@ -63,23 +70,37 @@ def assign_cluster(df: DataFrame, col: str, centres: Centres, out: str = "cluste
 def lloyd(df: DataFrame, col: str, centres: Centres, n_iter: int) -> Centres:
     """``n_iter`` rounds of assign and average; an empty cluster keeps its centre.
 
-    Each round is one pass whose partial means are merged per cluster, so a
-    cluster with most of the rows costs no more than a small one.
+    Each round is one pass; a task adds up its rows per cluster, so a cluster
+    with most of the rows costs no more than a small one.
     """
     data = df.select(F.col(col).cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        partitions = data.rdd.getNumPartitions()
         for _ in range(n_iter):
-            near = assign_cluster(data, "x", centres)
-            means = near.groupBy("cluster").agg(
-                vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("mean")
-            )
-            moved = {r["cluster"]: r["mean"] for r in means.collect()}
-            centres = Centres.of([moved.get(i, p) for i, p in enumerate(centres.points)])
+            old = np.array(centres.points)
+            sums = partition_sums(data, _assigned_sums(old), partitions).reshape(len(old), -1)
+            size = sums[:, :1]
+            centres = Centres.of(np.where(size > 0, sums[:, 1:] / np.maximum(size, 1.0), old))
     finally:
         data.unpersist()
     return centres
 
 
+def _assigned_sums(centres: np.ndarray):
+    """Rows and coordinate sums per nearest centre of a batch."""
+
+    def block(batch) -> np.ndarray:
+        points = rows_as_matrix(batch.column("x"))
+        best, _ = nearest_centres(points, centres)
+        out = np.zeros((len(centres), 1 + points.shape[1]))
+        out[:, 0] = np.bincount(best, minlength=len(centres))
+        for j in range(points.shape[1]):
+            out[:, 1 + j] = np.bincount(best, weights=points[:, j], minlength=len(centres))
+        return out
+
+    return block
+
+
 @dataclass(frozen=True)
 class BestOf:
     model: KMeansModel

@@ -36,9 +36,24 @@ def ordered_split(
 
 
 def hash_position(key: Sequence[str], seed: int) -> Column:
-    """60 bits of ``md5(seed:key)`` as a number."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")
+    """The first 60 bits of ``md5(seed:key)`` in hexadecimal: text that orders like a number."""
+    text = F.lit(f"{seed}:")
+    for i, k in enumerate(key):
+        text = F.concat(text, *([F.lit(":")] if i else []), F.col(k).cast("string"))
+    return F.substring(F.md5(text), 1, HASH_DIGITS)
+
+
+def _hex(place: float) -> str:
+    return f"{min(max(int(place), 0), HASH_SPACE - 1):0{HASH_DIGITS}x}"
+
+
+def _narrow(floor: str | None, ceiling: str | None, k: int, inside: int) -> tuple[str, str]:
+    """Hashes are uniform, so six deviations around the expected place hold the row."""
+    low = int(floor, 16) if floor else 0
+    high = int(ceiling, 16) if ceiling else HASH_SPACE
+    share = k / inside
+    spread = min(0.2, 6.0 * math.sqrt(share * (1.0 - share) / inside) + 1.0 / inside)
+    return _hex(low + (high - low) * (share - spread)), _hex(low + (high - low) * (share + spread))
 
 
 def random_split(
@@ -62,11 +77,8 @@ def random_split(
         if size == 0:
             return df.withColumn("part", F.lit("train"))
         order = ["_hash", *key]
-        share = size / rows
-        spread = 6.0 * math.sqrt(share * (1.0 - share) / rows) + 1.0 / HASH_SPACE
-        guess = (int(max(0.0, share - spread) * HASH_SPACE), int(min(1.0, share + spread) * HASH_SPACE))
-        border = kth_row(hashed, order, size, rows, sort_below, guess)
+        border = kth_row(hashed, order, size, rows, sort_below, _narrow)
         chosen = at_or_before(hashed, order, border)
     else:
-        chosen = F.col("_hash") < F.lit(int(test_size * HASH_SPACE))
+        chosen = F.col("_hash") < F.lit(_hex(test_size * HASH_SPACE))
     return hashed.withColumn("part", F.when(chosen, F.lit("test")).otherwise(F.lit("train"))).drop("_hash")

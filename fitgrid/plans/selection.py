@@ -9,11 +9,11 @@ columns are scanned and nothing is shuffled but partial aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-SORT_BELOW = 10_000
+SORT_BELOW = 200_000
 ACCURACY = 10_000
 
 
@@ -32,41 +32,48 @@ def ordinal(df: DataFrame, name: str) -> Column:
     return col
 
 
+# Proposes an interval for position k of a column's values between two bounds.
+Narrow = Callable[[object, object, int, int], tuple]
+
+
 def kth_row(
     df: DataFrame,
     order_by: Sequence[str],
     k: int,
     total: int | None = None,
     sort_below: int = SORT_BELOW,
-    guess: tuple | None = None,
+    narrow: Narrow | None = None,
 ) -> tuple:
     """Ordinals of ``order_by`` in the row at 1-based position ``k``.
 
-    ``guess`` is an interval of the leading column that probably holds the row;
-    it saves the first sketch and, being counted exactly, never changes the result.
+    ``narrow(floor, ceiling, k, inside)`` replaces the sketch for a leading
+    column whose distribution is known. Whatever it proposes is counted exactly,
+    so it decides about speed only.
     """
     names = list(order_by)
     keys = df.select(*[ordinal(df, n).alias(f"o{i}") for i, n in enumerate(names)])
     inside = keys.count() if total is None else total
     if not 1 <= k <= inside:
         raise ValueError(f"position {k} is outside 1..{inside}")
-    return tuple(_descend(keys, keys.columns, k, inside, sort_below, guess))
+    return tuple(_descend(keys, keys.columns, k, inside, sort_below, narrow))
+
+
+def _sketch(scope: DataFrame, head: Column, k: int, inside: int) -> tuple:
+    share, slack = k / inside, 2.0 / ACCURACY
+    wanted = [max(0.0, share - slack), min(1.0, share + slack)]
+    return tuple(scope.agg(F.percentile_approx(head, wanted, ACCURACY)).first()[0])
 
 
 def _descend(
-    keys: DataFrame, cols: list[str], k: int, inside: int, sort_below: int, guess: tuple | None = None
+    keys: DataFrame, cols: list[str], k: int, inside: int, sort_below: int, narrow: Narrow | None = None
 ) -> list:
     head = F.col(cols[0])
-    if inside > sort_below and not isinstance(keys.schema[cols[0]].dataType, T.NumericType):
+    numeric = isinstance(keys.schema[cols[0]].dataType, T.NumericType)
+    if inside > sort_below and not numeric and narrow is None:
         raise TypeError("the leading order column must be a number, date or timestamp")
-    scope = keys
+    scope, floor, ceiling = keys, None, None
     while inside > sort_below:
-        if guess:
-            (low, high), guess = guess, None
-        else:
-            share, slack = k / inside, 2.0 / ACCURACY
-            wanted = [max(0.0, share - slack), min(1.0, share + slack)]
-            low, high = scope.agg(F.percentile_approx(head, wanted, ACCURACY)).first()[0]
+        low, high = narrow(floor, ceiling, k, inside) if narrow else _sketch(scope, head, k, inside)
         below, upto_low, below_high, upto_high = scope.agg(
             F.count_if(head < F.lit(low)),
             F.count_if(head <= F.lit(low)),
@@ -74,17 +81,22 @@ def _descend(
             F.count_if(head <= F.lit(high)),
         ).first()
         if k <= below:
-            scope, inside = scope.filter(head < F.lit(low)), below
+            ceiling, inside = low, below
         elif k <= upto_low:
-            return _ties(scope, cols, low, k - below, upto_low - below, sort_below)
+            return _ties(keys, cols, low, k - below, upto_low - below, sort_below)
         elif k <= below_high:
-            scope = scope.filter((head > F.lit(low)) & (head < F.lit(high)))
+            floor, ceiling = low, high
             k, inside = k - upto_low, below_high - upto_low
         elif k <= upto_high:
-            return _ties(scope, cols, high, k - below_high, upto_high - below_high, sort_below)
+            return _ties(keys, cols, high, k - below_high, upto_high - below_high, sort_below)
         else:
-            scope = scope.filter(head > F.lit(high))
+            floor = high
             k, inside = k - upto_high, inside - upto_high
+        scope = keys
+        if floor is not None:
+            scope = scope.filter(head > F.lit(floor))
+        if ceiling is not None:
+            scope = scope.filter(head < F.lit(ceiling))
     return list(scope.sort(*cols).offset(k - 1).limit(1).first())
 
 
