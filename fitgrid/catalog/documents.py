@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.joins import fits_broadcast
 from .base import table
 
 QUALITY_FEATURES = ["unique_share", "letter_share", "space_share", "log_chars"]
@@ -19,12 +20,12 @@ def share(text, letter: str, size):
     return (size - F.length(F.replace(text, F.lit(letter), F.lit("")))) / size
 
 
-def quality_features(docs: DataFrame) -> DataFrame:
+def quality_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     text = F.col("text")
     words = F.split(F.lower(F.trim(text)), r"\s+")
     size = F.greatest(F.length(text), F.lit(1)).cast("double")
     return docs.select(
-        "doc_id",
+        *keep,
         (F.size(F.array_distinct(words)) / F.size(words).cast("double")).alias("unique_share"),
         (F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / size).alias("letter_share"),
         share(text, " ", size).alias("space_share"),
@@ -33,9 +34,14 @@ def quality_features(docs: DataFrame) -> DataFrame:
 
 
 def quality_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents with their features; ``label`` is the quality class."""
+    """Labelled documents with their features; ``label`` is the quality class.
+
+    Texts are never shuffled: few labels go to the texts, many meet the features.
+    """
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    docs = table(spark, sf, "documents").select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    if fits_broadcast(labels):
+        return quality_features(docs.join(F.broadcast(labels), "doc_id"), ("doc_id", "label"))
     return quality_features(docs).join(labels, "doc_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..models import classify
 from ..models.classify import REGISTRY, ModelSpec
 from ..models.gini import gini_root_split
-from ..models.kernel import rbf_kernel
+from ..models.kernel import rbf_features, rbf_kernel, rbf_weights
 from ..models.kmeans import fit_kmeans_best_of, lloyd
 from ..models.linear import fit_ols, ols_1d
 from ..plans.evaluation import MATRIX, fit_spec, hold_out, model_matrix, quality, repeated_runs
@@ -101,6 +101,25 @@ def m04a(spark, sf):
     return out.withColumn("kernel", F.round("kernel", 6))
 
 
+def _random_feature_sql(n: int, gamma: float, seed: int) -> str:
+    weights, phases = rbf_weights(2, n, gamma, seed)
+    columns = ["p_size / 50", "p_retailprice / 1000"]
+    each = []
+    for j in range(n):
+        terms = [f"({float(w)!r})::DOUBLE * ({c})" for w, c in zip(weights[:, j], columns)]
+        angle = " + ".join([*terms, f"({float(phases[j])!r})::DOUBLE"])
+        each.append(f"round(sqrt(2.0::DOUBLE / {n}) * cos({angle}), 6) + 0.0::DOUBLE AS z{j}")
+    return f"SELECT p_partkey, {', '.join(each)} FROM part"
+
+
+@query("m04c_random_features", _random_feature_sql(6, 0.5, 42))
+def m04c(spark, sf):
+    point = F.array(F.col("p_size") / 50, F.col("p_retailprice") / 1000).alias("x")
+    parts = table(spark, sf, "part").select("p_partkey", point)
+    mapped = rbf_features(parts, "x", 0.5, 6, 42, out="z")
+    return mapped.select("p_partkey", *[F.round(F.get("z", F.lit(j)), 6).alias(f"z{j}") for j in range(6)])
+
+
 @query("m04b_rbf_svm")
 def m04b(spark, sf):
     return one_model(spark, quality_table(spark, sf), QUALITY_FEATURES, REGISTRY["SVC"])

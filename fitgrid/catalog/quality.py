@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax, cross_entropy
@@ -9,7 +10,8 @@ from ..functions.scalars import eq_target
 from ..models.kmeans import Centres, assign_cluster
 from ..models.linear import LinearModel
 from ..operators import metrics
-from ..operators.features import ovr_targets
+from ..models.svm import LinearMachineModel
+from ..operators.features import assemble, ovr_targets
 from ..operators.ranking import first_n
 from ..operators.silhouette import silhouette_exact, silhouette_squared
 from ..operators.votes import ovr_vote
@@ -86,6 +88,32 @@ def i04(spark, sf):
     return ovr_vote(votes, "vec_id", "cls", "vote", first_class=0)
 
 
+# Three machines over four line columns; the last weight is the constant.
+MACHINES = [[0.04, 2.0, -1.0, 0.1, -1.2], [-0.02, -3.0, 4.0, -0.2, 0.9], [0.01, 5.0, 5.0, 0.05, -0.8]]
+MACHINE_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _margin_sql(weights: list[float]) -> str:
+    terms = [f"{w}::DOUBLE * {c}" for w, c in zip(weights, MACHINE_COLUMNS)]
+    return " + ".join([f"{weights[-1]}::DOUBLE", *terms])
+
+
+@query(
+    "i04b_machine_votes",
+    f"""WITH m AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       {', '.join(f'{_margin_sql(w)} AS m{i}' for i, w in enumerate(MACHINES))} FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       CASE WHEN m0 >= m1 AND m0 >= m2 THEN 0.0::DOUBLE WHEN m1 >= m2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS by_margin,
+       CASE WHEN m0 > 0 THEN 0.0::DOUBLE WHEN m1 > 0 THEN 1.0::DOUBLE WHEN m2 > 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS by_vote
+FROM m""",
+)
+def i04b(spark, sf):
+    lines = assemble(table(spark, sf, "lineitem"), MACHINE_COLUMNS)
+    model = LinearMachineModel(np.array(MACHINES), prediction="by_margin")
+    both = model.with_vote("hard", "by_vote").transform(model.transform(lines))
+    return both.select(*LINE_KEYS, "by_margin", "by_vote")
+
+
 def flagged(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_returnflag",

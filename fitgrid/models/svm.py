@@ -127,9 +127,9 @@ class LinearMachineModel(Model):
         super().__init__()
         self.weights, self.features, self.prediction, self.vote = weights, features, prediction, vote
 
-    def with_vote(self, vote: str) -> LinearMachineModel:
+    def with_vote(self, vote: str, prediction: str | None = None) -> LinearMachineModel:
         """``margin``: the largest margin; ``hard``: the lowest class that says yes."""
-        return LinearMachineModel(self.weights, self.features, self.prediction, vote)
+        return LinearMachineModel(self.weights, self.features, prediction or self.prediction, vote)
 
     def margins(self, df: DataFrame) -> Column:
         x, weights = as_array(df, self.features), self.weights
