@@ -48,12 +48,20 @@ def fit_first_seen(
 def apply_codes(
     df: DataFrame, codes: DataFrame, cols: Sequence[str], suffix: str = "_code", small_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Add the code of every listed column."""
+    """Add the code of every listed column.
+
+    A dictionary that is small as a whole is broadcast, else column by column.
+    """
+    small = fits_broadcast(codes, max_rows=small_rows)
     for c in cols:
         name = f"{c}{suffix}"
         mine = codes.filter(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias(name))
         marked = df.withColumn("_value", F.col(c).cast("string"))
-        df = lookup_join(marked, mine, "_value", "left", max_rows=small_rows).drop("_value")
+        if small:
+            joined = marked.join(F.broadcast(mine), "_value", "left")
+        else:
+            joined = lookup_join(marked, mine, "_value", "left", max_rows=small_rows)
+        df = joined.drop("_value")
     return df
 
 
