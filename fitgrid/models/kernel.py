@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.arrays import doubles, squared_distance
 from .svm import as_array
 
-MAX_LANDMARKS = 10_000
+MAX_LANDMARKS = 1_000
 
 
 def rbf_kernel(

@@ -11,6 +11,8 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.joins import lookup_join
+
 BLOCK_ROWS = 8192
 
 
@@ -52,10 +54,10 @@ def silhouette_exact(
         _pair_sums, f"key {key_type}, cluster int, other int, total double"
     )
     sizes = points.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("size"))
-    table = {r["other"]: r["size"] for r in sizes.collect()}
-    size_of = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
-    per_cluster = sums.groupBy("key", "cluster", "other").agg(F.sum("total").alias("total"))
-    size = F.try_element_at(size_of, F.col("other"))
+    per_cluster = lookup_join(
+        sums.groupBy("key", "cluster", "other").agg(F.sum("total").alias("total")), sizes, "other", "inner"
+    )
+    size = F.col("size")
     own = F.col("other") == F.col("cluster")
     means = per_cluster.groupBy("key", "cluster").agg(
         F.max(F.when(own & (size > 1), F.col("total") / (size - 1))).alias("a"),

@@ -27,13 +27,13 @@ def cut_points(df: DataFrame, col: Column, ranges: int) -> list[float]:
 
 
 def with_range(df: DataFrame, order: Column, ranges: int, out: str = "_range") -> DataFrame:
-    """Add the number of the range each row's order value falls into."""
+    """Add the number of the range each row's order value falls into; NaN sorts last."""
     cuts = cut_points(df, order, ranges) if ranges > 1 else []
     if not cuts:
         return df.withColumn(out, F.lit(0))
     splits = [-math.inf, *cuts, math.inf]
     mark = f"{out}_value"
-    bucketed = Bucketizer(splits=splits, inputCol=mark, outputCol=out).transform(
+    bucketed = Bucketizer(splits=splits, inputCol=mark, outputCol=out, handleInvalid="keep").transform(
         df.withColumn(mark, order.cast("double"))
     )
     return bucketed.withColumn(out, F.col(out).cast("int")).drop(mark)
@@ -47,8 +47,9 @@ def running_totals(
 ) -> DataFrame:
     """Add one inclusive running total per measure, in the order given.
 
-    ``order_by`` must make the rows' order unique; its first column decides the
-    range and has to be a number, date or timestamp once there is more than one.
+    ``order_by`` must make the rows' order unique and hold no nulls; its first
+    column decides the range and has to be a number, date or timestamp once there
+    is more than one.
     """
     names = list(measures)
     rows = df.count()

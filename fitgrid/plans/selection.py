@@ -44,7 +44,7 @@ def kth_row(
     sort_below: int = SORT_BELOW,
     narrow: Narrow | None = None,
 ) -> tuple:
-    """Ordinals of ``order_by`` in the row at 1-based position ``k``.
+    """Ordinals of ``order_by``, which holds no nulls, in the row at 1-based position ``k``.
 
     ``narrow(floor, ceiling, k, inside)`` replaces the sketch for a leading
     column whose distribution is known. Whatever it proposes is counted exactly,

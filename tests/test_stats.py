@@ -123,6 +123,8 @@ def test_results_do_not_depend_on_partitions(spark, sf):
     assert summary(1) == summary(7)
 
 
-def test_ranges_ignore_nan_free_data(frame):
-    df = frame([(1.0,), (math.pi,)], "v double").withColumn("k", F.lit("x"))
-    assert stats.latency_summary(df, ["k"], "v").first()["p50"] == pytest.approx((1 + math.pi) / 2)
+def test_not_a_number_sorts_last_in_both_ways(frame):
+    df = frame([(float(i),) for i in range(40)] + [(math.nan,)], "v double").withColumn("k", F.lit("x"))
+    for rows in (1000, 10):
+        row = stats.latency_summary(df, ["k"], "v", (0.5, 1.0), group_rows=rows).first()
+        assert row["p50"] == 20.0 and math.isnan(row["p100"])
