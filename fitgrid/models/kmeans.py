@@ -1,22 +1,19 @@
-"""k-means: MLlib with several starts, and Lloyd steps from given centres."""
+"""k-means: several starts in the same passes, and Lloyd steps from given centres."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.sums import partition_sums, rows_as_matrix
 
 MAX_CENTRES = 10_000
-PARALLEL_FITS = 5
+SEEDING_ROWS = 5_000
 
 
 def nearest_centres(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +58,10 @@ class Centres:
 
 
 def assign_cluster(df: DataFrame, col: str, centres: Centres, out: str = "cluster") -> DataFrame:
-    """Add the nearest centre's number and the squared distance ``cost``."""
+    """Set the nearest centre's number and the squared distance ``cost``."""
+    kept = [c for c in df.columns if c not in (out, "cost")]
     return df.withColumn("_near", centres.nearest(F.col(col).cast("array<double>"))).select(
-        *df.columns, F.col("_near.cluster").alias(out), F.col("_near.cost").alias("cost")
+        *kept, F.col("_near.cluster").alias(out), F.col("_near.cost").alias("cost")
     )
 
 
@@ -103,7 +101,9 @@ def _assigned_sums(centres: np.ndarray):
 
 @dataclass(frozen=True)
 class BestOf:
-    model: KMeansModel
+    """Centres of the cheapest start, and the cost of every start."""
+
+    centres: Centres
     costs: dict[int, float]
     seed: int
 
@@ -112,23 +112,80 @@ class BestOf:
         return self.costs[self.seed]
 
 
+def spread_start(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` starting centres drawn in proportion to their squared distance (k-means++)."""
+    rng = np.random.default_rng(seed)
+    chosen = [points[rng.integers(len(points))]]
+    far = np.square(points - chosen[0]).sum(axis=1)
+    while len(chosen) < k:
+        total = far.sum()
+        weights = far / total if total > 0 else None
+        chosen.append(points[rng.choice(len(points), p=weights)])
+        far = np.minimum(far, np.square(points - chosen[-1]).sum(axis=1))
+    return np.array(chosen)
+
+
+def _costs_and_sums(starts: np.ndarray):
+    """For each start: its cost on a batch, then rows and coordinate sums per centre."""
+
+    def block(batch) -> np.ndarray:
+        points = rows_as_matrix(batch.column("x"))
+        k, d = starts.shape[1:]
+        out = np.zeros((len(starts), 1 + k * (1 + d)))
+        for s, centres in enumerate(starts):
+            best, cost = nearest_centres(points, centres)
+            sums = out[s, 1:].reshape(k, 1 + d)
+            sums[:, 0] = np.bincount(best, minlength=k)
+            for j in range(d):
+                sums[:, 1 + j] = np.bincount(best, weights=points[:, j], minlength=k)
+            out[s, 0] = cost.sum()
+        return out
+
+    return block
+
+
 def fit_kmeans_best_of(
-    df: DataFrame, col: str, k: int = 8, seeds: Sequence[int] = tuple(range(10)), max_iter: int = 20
+    df: DataFrame,
+    col: str,
+    k: int = 8,
+    seeds: Sequence[int] = tuple(range(10)),
+    max_iter: int = 100,
+    tol: float = 1e-4,
+    seeding_rows: int = SEEDING_ROWS,
 ) -> BestOf:
-    """Best of several seeded starts by training cost; the lowest seed on ties."""
-    data = df.select(array_to_vector(F.col(col).cast("array<double>")).alias("features")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    try:
-        data.count()
-
-        def fit(seed: int) -> KMeansModel:
-            return KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
+    """Best of several starts by cost over all rows; the lowest seed on ties.
 
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            models = dict(zip(seeds, pool.map(fit, seeds)))
-        costs = {seed: float(m.summary.trainingCost) for seed, m in models.items()}
+    All starts advance in the same passes, so ten starts read the data as often
+    as one. Only the starting points come from a hashed subset; every round and
+    the final costs use all rows. A start is done when its centres' squared moves
+    add up to at most ``tol`` times the mean variance of a feature.
+    """
+    data = df.select(F.col(col).cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        subset = data.orderBy(F.xxhash64("x"), "x").limit(seeding_rows).collect()
+        points = np.array([r["x"] for r in subset])
+        starts = np.array([spread_start(points, k, seed) for seed in seeds])
+        partitions = data.rdd.getNumPartitions()
+        still = tol * points.var(axis=0).mean()
+        moving = np.ones(len(starts), dtype=bool)
+        costs = np.zeros(len(starts))
+        for turn in range(max_iter + 1):
+            live = np.flatnonzero(moving)
+            sums = partition_sums(data, _costs_and_sums(starts[live]), partitions).reshape(len(live), -1)
+            costs[live] = sums[:, 0]
+            if turn == max_iter:
+                break
+            parts = sums[:, 1:].reshape(len(live), k, -1)
+            size = parts[:, :, :1]
+            moved = np.where(size > 0, parts[:, :, 1:] / np.maximum(size, 1.0), starts[live])
+            moving[live] = np.square(moved - starts[live]).sum(axis=(1, 2)) > still
+            # a start that stands still keeps the centres its cost belongs to
+            keep = moving[live]
+            starts[live[keep]] = moved[keep]
+            if not moving.any():
+                break
     finally:
         data.unpersist()
-    chosen = min(seeds, key=lambda s: (costs[s], s))
-    return BestOf(models[chosen], costs, chosen)
+    by_seed = {seed: float(c) for seed, c in zip(seeds, costs)}
+    best = min(range(len(costs)), key=lambda i: (costs[i], i))
+    return BestOf(Centres.of(starts[best].tolist()), by_seed, list(seeds)[best])

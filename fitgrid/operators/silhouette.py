@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.joins import lookup_join
 
 BLOCK_ROWS = 8192
+SMALLEST_BLOCK = 1024
 
 
 def silhouette_squared(df: DataFrame, col: str, cluster: str) -> DataFrame:
@@ -35,7 +36,9 @@ def silhouette_exact(
     and emits one sum per row and cluster, never a pair.
     """
     rows = df.count()
-    blocks = max(1, math.ceil(rows / block_rows))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    enough = min(math.ceil(math.sqrt(2 * cores)), math.ceil(rows / SMALLEST_BLOCK))
+    blocks = max(1, math.ceil(rows / block_rows), enough)
     points = df.select(
         F.col(key).alias("key"),
         F.col(cluster).cast("int").alias("cluster"),
@@ -85,7 +88,7 @@ def _cluster_sums(a: pd.DataFrame, b: pd.DataFrame, step: int = 256) -> pd.DataF
     labels, codes = np.unique(b["cluster"].to_numpy(), return_inverse=True)
     member = np.zeros((len(b), len(labels)))
     member[np.arange(len(b)), codes] = 1.0
-    sums = np.concatenate(list(_distance_sums(x, y, member, step)))
+    sums = np.concatenate(list(_distance_sums(x, y, member, step, a is b)))
     return pd.DataFrame(
         {
             "key": np.repeat(a["key"].to_numpy(), len(labels)),
@@ -96,11 +99,17 @@ def _cluster_sums(a: pd.DataFrame, b: pd.DataFrame, step: int = 256) -> pd.DataF
     )
 
 
-def _distance_sums(x: np.ndarray, y: np.ndarray, member: np.ndarray, step: int) -> Iterator[np.ndarray]:
-    """Distances of ``step`` rows at a time, summed over the features one by one."""
+def _distance_sums(
+    x: np.ndarray, y: np.ndarray, member: np.ndarray, step: int, same: bool
+) -> Iterator[np.ndarray]:
+    """Distances from inner products, ``step`` rows at a time; a row is at 0 from itself."""
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    xx, yy = np.square(x).sum(axis=1), np.square(y).sum(axis=1)
     for at in range(0, len(x), step):
-        part = x[at : at + step]
-        far = np.zeros((len(part), len(y)))
-        for j in range(x.shape[1]):
-            far += np.square(part[:, j, None] - y[None, :, j])
-        yield np.sqrt(far) @ member
+        far = xx[at : at + step, None] + yy[None, :] - 2.0 * (x[at : at + step] @ y.T)
+        np.maximum(far, 0.0, out=far)
+        if same:
+            here = np.arange(len(far))
+            far[here, at + here] = 0.0
+        yield np.sqrt(far, out=far) @ member

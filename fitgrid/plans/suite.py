@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import to_double
 from ..models.classify import REGISTRY, ModelSpec, linear_svc
-from ..models.kmeans import Centres, assign_cluster, fit_kmeans_best_of
+from ..models.kmeans import assign_cluster, fit_kmeans_best_of
 from ..models.linear import fit_ols
 from ..operators.encode import encode_first_seen, encode_target
 from ..operators.metrics import r2
@@ -148,8 +148,7 @@ def run_kmeans(
     try:
         rows, width = points.count(), len(points.select("x").first()[0])
         best, fit_time = timed(lambda: fit_kmeans_best_of(points, "x", k, range(starts)))
-        centres = Centres.of([c.tolist() for c in best.model.clusterCenters()])
-        assigned = assign_cluster(points, "x", centres)
+        assigned = assign_cluster(points, "x", best.centres)
         _, test_time = timed(lambda: assigned.groupBy("cluster").count().collect())
         if exact:
             score = silhouette_exact(assigned, key, "x", "cluster").agg(F.avg("silhouette")).first()[0]

@@ -135,6 +135,17 @@ def test_lloyd_matches_numpy_and_keeps_empty_centres(spark):
 def test_best_of_keeps_the_cheapest_start(spark):
     best = fit_kmeans_best_of(make_blobs(spark, 200, 4, 3), "features", 4, seeds=range(4))
     assert best.cost == min(best.costs.values()) and len(best.costs) == 4
+    near = assign_cluster(make_blobs(spark, 200, 4, 3), "features", best.centres)
+    assert near.agg(F.sum("cost")).first()[0] == pytest.approx(best.cost)
+    assert near.select("cluster").distinct().count() == 4
+
+
+def test_ten_starts_find_the_blobs(spark):
+    points = make_blobs(spark, 800, 8, 6)
+    best = fit_kmeans_best_of(points, "features", 8)
+    near = assign_cluster(points.withColumnRenamed("cluster", "truth"), "features", best.centres)
+    pairs = near.groupBy("truth", "cluster").count().collect()
+    assert len(pairs) == 8 and all(r["count"] == 100 for r in pairs)
 
 
 @pytest.mark.parametrize("rows_per_range", [10, 1_000_000])
