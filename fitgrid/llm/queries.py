@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, packing, simhash
+from . import bpe, langid, line_dedup, packing, quality, simhash
 from .registry import query, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -79,3 +79,23 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    trusted = quality.trusted_keys(table(spark, sf, "labels"), good="quality = 1 and toxic = 0")
+    return quality.assess(docs, trusted).select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+def held_out():
+    """A quarter of the documents that no language model learns from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.fit(docs.filter(~held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), model).drop("text")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
