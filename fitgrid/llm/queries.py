@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, line_dedup, packing, quality, simhash
+from . import ann, bpe, langid, line_dedup, packing, quality, simhash
 from .registry import query, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -99,3 +99,9 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     model = langid.fit(docs.filter(~held_out()))
     found = langid.identify(docs.select("doc_id", "text"), model).drop("text")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op1_ann")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
