@@ -26,8 +26,9 @@ WORD_BUCKETS = 1 << 16
 SHAPE_BUCKETS = 1 << 12
 TRUSTED_DOCUMENTS = 100_000
 THRESHOLD = -0.8
+END = 1 << 30  # as a length: to the end
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-OWN = [*COUNTS, "base_failed", "score", "kept", "_words", "_hashes", "_grams", "_at", "_lines", "_buckets", "_trusted"]
+OWN = [*COUNTS, "base_failed", "score", "kept", "_words", "_hashes", "_pairs", "_fours", "_eights", "_grams", "_at", "_next", "_starts", "_lines", "_shapes", "_trusted"]
 
 
 def words_of(text: Column) -> Column:
@@ -36,36 +37,34 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK))
 
 
-def _next_to(values: Column, gap: int) -> Column:
-    """``xxhash64(values[i], values[i + gap])`` for all i that have such a partner."""
-    n = F.greatest(F.size(values) - gap, F.lit(0))
-    return F.zip_with(F.slice(values, 1, n), F.slice(values, 1 + gap, n), lambda a, b: F.xxhash64(a, b))
+def _after(values: str, gap: int) -> Column:
+    """``xxhash64(values[i], values[i + gap])``; the last ``gap`` of them have no partner and mean nothing."""
+    return F.zip_with(F.col(values), F.slice(values, 1 + gap, END), lambda a, b: F.xxhash64(a, b))
 
 
 def base_counts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Add the rule counts, ``base_failed`` and the helper columns ``_words, _hashes``.
+    """Add the rule counts and ``base_failed``, and the helper columns ``_words, _hashes``.
 
     Windows are told apart by 64-bit hashes: two different ones among a million words of a text
-    agree with a chance below 10^-7.
+    agree with a chance below 10^-7. Every step is a column of its own, so none is computed twice.
     """
     text = F.coalesce(F.col(column), F.lit(""))
     found = docs.withColumn("_words", words_of(F.col(column)))
     found = found.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    found = found.withColumn("_grams", _next_to(_next_to(_next_to(F.col("_hashes"), 1), 2), 4))
-    has_word = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(EDGES)) != "")
-    found = found.withColumn("_lines", has_word)
+    found = found.withColumn("_pairs", _after("_hashes", 1)).withColumn("_fours", _after("_pairs", 2))
+    found = found.withColumn("_eights", _after("_fours", 4))
+    found = found.withColumn("_grams", F.slice("_eights", 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0))))
+    found = found.withColumn("_lines", F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(EDGES)) != ""))
     # sorted windows exist for texts that repeat one only
     repeats = F.size(F.array_distinct("_grams")) < F.size("_grams")
     at = F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     found = found.withColumn("_at", F.when(repeats, at).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    paired = F.filter(
-        "_at",
-        lambda x, i: F.coalesce(F.get("_at", i - 1)["h"] == x["h"], F.lit(False))
-        | F.coalesce(F.get("_at", i + 1)["h"] == x["h"], F.lit(False)),
-    )
-    starts = F.sort_array(F.transform(paired, lambda x: x["i"]))
+    found = found.withColumn("_next", F.slice("_at", 2, END))
+    # neighbours of equal hash in the sorted order: both of each such pair are repeats
+    same = F.zip_with("_at", "_next", lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    found = found.withColumn("_starts", F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))))
     covered = F.aggregate(
-        starts,
+        "_starts",
         F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")),
         lambda s: s["n"],
@@ -73,45 +72,51 @@ def base_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     found = found.withColumns(
         {
             "n_words": F.size("_words").cast("bigint"),
-            "word_chars": F.length(F.regexp_replace(text, BLANK, "")).cast("bigint"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
             "n_symbols": F.length(F.regexp_replace(text, NOT_SYMBOL, "")).cast("bigint"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
             "n_repeat_words": covered.cast("bigint"),
         }
-    ).drop("_grams", "_at", "_lines")
+    ).drop("_pairs", "_fours", "_eights", "_grams", "_at", "_next", "_starts", "_lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return found.withColumn("base_failed", failed)
 
 
-def buckets(column: str, word_buckets: int = WORD_BUCKETS, shape_buckets: int = SHAPE_BUCKETS) -> Column:
-    """Buckets of a document's n-grams from ``_words`` and ``_hashes``; shapes come after words."""
+def grams(docs: DataFrame, column: str) -> DataFrame:
+    """Add ``_grams``: hash, shape, next hash and next shape of every word of ``_words, _hashes``."""
     text = F.btrim(F.coalesce(F.col(column), F.lit("")), F.lit(EDGES))
-    # capitals, other letters and digits each become one sign; all else stays as it is
-    outline = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"[\p{L}&&[^A\p{Lu}]]+", "a"), r"\p{N}+", "0")
-    shapes = F.transform(F.split(outline, BLANK), lambda s: F.xxhash64(s))
-    words = F.transform("_hashes", lambda h: F.pmod(h, F.lit(word_buckets)).cast("int"))
-    n = F.greatest(F.size("_hashes") - 1, F.lit(0))
-    same = F.zip_with(F.slice("_hashes", 1, n), F.slice("_hashes", 2, n), lambda a, b: a == b)
-    pairs = F.zip_with(
-        _next_to(shapes, 1), same, lambda p, s: F.pmod(F.xxhash64(p, s), F.lit(shape_buckets)).cast("int") + word_buckets
-    )
-    return F.when(F.size("_hashes") == 0, F.array().cast("array<int>")).otherwise(F.concat(words, pairs))
+    # runs of small letters and of capitals become one letter; all else stays as it is
+    outline = F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A")
+    shaped = docs.withColumn("_shapes", F.split(outline, BLANK))
+    after = F.slice("_shapes", 2, END)
+    zipped = F.arrays_zip(F.col("_hashes").alias("h"), F.col("_shapes").alias("s"), F.slice("_hashes", 2, END).alias("g"), after.alias("t"))
+    return shaped.withColumn("_grams", F.when(F.size("_hashes") > 0, zipped)).drop("_shapes")
+
+
+def _word_bucket(h: Column, words: int) -> Column:
+    return F.pmod(h, F.lit(words)).cast("int")
 
 
-def weights(docs: DataFrame, trusted: DataFrame, key: str, word_buckets: int = WORD_BUCKETS, shape_buckets: int = SHAPE_BUCKETS) -> DataFrame:
+def _shape_bucket(h: Column, s: Column, g: Column, t: Column, words: int, shapes: int) -> Column:
+    """Bucket of a pair of shapes, behind those of words; null after the last word."""
+    return F.when(g.isNotNull(), F.pmod(F.xxhash64(s, t, h == g), F.lit(shapes)).cast("int") + words)
+
+
+def weights(docs: DataFrame, trusted: DataFrame, key: str, words: int = WORD_BUCKETS, shapes: int = SHAPE_BUCKETS) -> DataFrame:
     """``bucket, weight``: the log-likelihood ratio of every bucket.
 
-    ``docs`` has ``_buckets``; ``trusted`` is a bounded table of distinct keys. Target counts
+    ``docs`` has ``_grams``; ``trusted`` is a bounded table of distinct keys. Target counts
     are smoothed towards the raw shares with the weight of one count per bucket, so the
     ratio of n-grams without evidence is near zero.
     """
-    marked = docs.join(F.broadcast(trusted.select(F.col(key), F.lit(1).alias("_trusted"))), key, "left")
-    grams = marked.select(F.explode("_buckets").alias("bucket"), F.coalesce("_trusted", F.lit(0)).alias("trusted"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
-    every = docs.sparkSession.range(word_buckets + shape_buckets).select(F.col("id").cast("int").alias("bucket"))
-    kind = F.col("bucket") >= word_buckets
-    full = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"]).withColumn("shape", kind)
-    size = F.when(F.col("shape"), F.lit(shape_buckets)).otherwise(F.lit(word_buckets))
+    marked = docs.select(key, "_grams").join(F.broadcast(trusted.select(F.col(key), F.lit(1).alias("_trusted"))), key, "left")
+    rows = marked.select(F.coalesce("_trusted", F.lit(0)).alias("trusted"), F.inline("_grams").alias("h", "s", "g", "t"))
+    both = F.array(_word_bucket(F.col("h"), words), _shape_bucket(*map(F.col, "hsgt"), words, shapes))
+    counts = rows.select("trusted", F.explode(both).alias("bucket")).filter("bucket is not null")
+    counts = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
+    every = docs.sparkSession.range(words + shapes).select(F.col("id").cast("int").alias("bucket"))
+    full = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"]).withColumn("shape", F.col("bucket") >= words)
+    size = F.when(F.col("shape"), F.lit(shapes)).otherwise(F.lit(words))
     of_kind = Window.partitionBy("shape")  # as many rows as buckets, whatever the corpus
     share = (F.col("raw") + 1.0) / (F.sum("raw").over(of_kind) + size)
     target = (F.col("target") + size * share) / (F.sum("target").over(of_kind) + size)
@@ -144,15 +149,18 @@ def assess(
     zero and only the base rules decide. Columns named like the new ones are replaced.
     """
     docs = without(docs, OWN)
-    counted = base_counts(docs, column)
     slim = docs.select(F.col(key), F.col(column), words_of(F.col(column)).alias("_words"))
     slim = slim.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    slim = slim.select(key, buckets(column, word_buckets, shape_buckets).alias("_buckets"))
-    model = weights(slim, trusted, key, word_buckets, shape_buckets).orderBy("bucket").collect()  # one row per bucket
+    model = weights(grams(slim, column), trusted, key, word_buckets, shape_buckets).orderBy("bucket").collect()  # one row per bucket
     # constant folding turns the text into one array that all rows share
     table = F.split(F.lit(",".join(f"{r['weight']:g}" for r in model)), ",").cast("array<double>")
-    total = F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.get(table, b))
-    scored = counted.withColumn("_buckets", buckets(column, word_buckets, shape_buckets))
+
+    def add(total: Column, x: Column) -> Column:
+        pair = F.get(table, _shape_bucket(x["h"], x["s"], x["g"], x["t"], word_buckets, shape_buckets))
+        return total + F.get(table, _word_bucket(x["h"], word_buckets)) + F.coalesce(pair, F.lit(0.0))
+
+    scored = grams(base_counts(docs, column), column)
+    total = F.coalesce(F.aggregate("_grams", F.lit(0.0), add), F.lit(0.0))
     scored = scored.withColumn("score", total / F.greatest(F.col("n_words"), F.lit(1)))
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
     return scored.withColumn("kept", kept).select(*docs.columns, *COUNTS, "base_failed", "score", "kept")

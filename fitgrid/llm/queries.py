@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, langid, line_dedup, packing, quality, simhash
+from . import ann, bpe, langid, line_dedup, packing, quality, sharding, simhash, token_counts, url_filter
 from .registry import query, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -105,3 +105,59 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = token_counts.masking_edits(table(spark, sf, "documents").select("doc_id", "text"))
+    return token_counts.count_edits(docs, public_tokenizers.path(MULTI), public_tokenizers.PATTERN)
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+
+
+def shards_sql() -> str:
+    """Placement over the lookup table, written out as two digits a slot."""
+    owner = "".join(f"{o:02d}" for o in sharding.lookup_table(SHARDS).tolist())
+    return f"""
+WITH hashed AS (
+  SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SLOTS})::INTEGER AS slot FROM documents
+)
+SELECT doc_id, slot, 'shard-' || substr('{owner}', slot * 2 + 1, 2) AS shard FROM hashed
+"""
+
+
+@query("op7_sharding", shards_sql())
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.place(table(spark, sf, "documents").select("doc_id"), SHARDS)
+
+
+# The rules of the task.
+URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
+
+def url_sql() -> str:
+    """Every rule as a case, longest first."""
+    cases = ""
+    for verdict, host, path in sorted(map(url_filter.parse, URL_RULES), key=lambda r: -len(r[1] + r[2])):
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+        cases += f"WHEN {fits} THEN {{'rule': '{host}{path}', 'verdict': '{verdict}'}} "
+    return rf"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT *, regexp_extract(rest, '^[^/?#]*') AS h FROM rests
+), parts AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path
+  FROM hosts
+), judged AS (
+  SELECT *, CASE {cases} ELSE {{'rule': NULL, 'verdict': '{url_filter.DEFAULT}'}} END AS found FROM parts
+)
+SELECT page_id, host, path, found.rule AS rule, found.verdict AS verdict FROM judged
+"""
+
+
+@query("op9_url_filter", url_sql())
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES).drop("url")
