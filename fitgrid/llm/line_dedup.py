@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
 from .batches import without
 
 MIN_WORDS = 50
@@ -58,6 +59,7 @@ def repeated_runs(docs: DataFrame, key: str, lines: str, body: str, min_words: i
     for side, found in enumerate(both):
         found = found.filter(F.col("words") >= min_words).withColumn("side", F.lit(side))
         windows = found if windows is None else windows.unionByName(found)
+    windows = materialise(windows, "windows")  # read by four of the steps below
     prints = windows.groupBy("side", "mark").agg(F.min("where").alias("first"), F.max("where").alias("last"))
     shared = prints.filter("first <> last").select("side", "mark")
     candidates = windows.join(shared, ["side", "mark"], "left_semi")

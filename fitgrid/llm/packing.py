@@ -119,10 +119,17 @@ def cut(docs: DataFrame, path: str, capacity: int = 1024, column: str = "text",
 class Plan:
     """Which ranks of which lengths share sequences.
 
-    ``counts[l]`` pieces of length ``l``; lengths over the capacity are refused.
+    ``counts[l]`` pieces of length ``l``. Gaps are filled exactly by up to ``parts`` pieces.
     """
 
-    def __init__(self, counts: np.ndarray):
+    @classmethod
+    def best(cls, counts: np.ndarray) -> Plan:
+        """The plan of the fewest sequences: with few pieces, combinations of three can use up
+        what the rest would have needed."""
+        return min((cls(counts, parts) for parts in (3, 2, 1, 0)), key=lambda plan: plan.sequences)
+
+    def __init__(self, counts: np.ndarray, parts: int = 3):
+        self.parts = parts
         self.capacity = len(counts) - 1
         self.left = counts.astype(np.int64).copy()
         self.used = np.zeros(len(counts), dtype=np.int64)
@@ -165,11 +172,11 @@ class Plan:
             if gap == 0:
                 self._take([length])
                 continue
-            if self.left[gap]:
+            if self.left[gap] and self.parts:
                 self._take([length, gap])
-            for b in self._pairs(gap).tolist() if self.left[length] else ():
+            for b in self._pairs(gap).tolist() if self.left[length] and self.parts > 1 else ():
                 self._take([length, b, gap - b])
-            for b in range(gap - 2, (gap - 1) // 3, -1):
+            for b in range(gap - 2, (gap - 1) // 3, -1) if self.parts > 2 else ():
                 if not self.left[length]:
                     break
                 while self.left[b] and self.left[length]:
@@ -219,7 +226,7 @@ def place(pieces: DataFrame, capacity: int = 1024, order: Sequence[str] = ("doc_
         if length is None or not 1 <= length <= capacity:
             raise ValueError(f"a piece of length {length} does not fit into {capacity}")
         counts[length] = number
-    plan = Plan(counts)
+    plan = Plan.best(counts)
     # groups of bounded size within a length, whatever its count
     groups = {n: int(-(-c // rank_rows)) for n, c in enumerate(counts.tolist()) if c > rank_rows}
     salts = F.lit(1)

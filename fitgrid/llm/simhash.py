@@ -150,7 +150,7 @@ def _forest(cell: np.ndarray, ones: np.ndarray, fp: np.ndarray, radius: int) ->
         for other in range(at, last, TILE):
             stop = min(other + TILE, last)
             same = cell[upto - 1] == cell[other]
-            if same and ones[other] - ones[upto - 1] > radius:
+            if same and int(ones[other]) - int(ones[upto - 1]) > radius:
                 break  # tiles further on have even more bits set
             far = np.bitwise_count(values[at:upto, None] ^ values[None, other:stop])
             i, j = np.nonzero(far <= radius)
