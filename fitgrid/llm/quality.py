@@ -10,7 +10,7 @@ the only shuffle is that of bucket counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .batches import without
 
@@ -31,27 +31,32 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 OWN = [*COUNTS, "base_failed", "score", "kept", "_words", "_hashes", "_pairs", "_fours", "_eights", "_grams", "_at", "_next", "_starts", "_lines", "_shapes", "_trusted"]
 
 
-def words_of(text: Column) -> Column:
-    """Runs of characters other than space and control blanks; none for a null text."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(EDGES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK))
-
-
 def _after(values: str, gap: int) -> Column:
     """``xxhash64(values[i], values[i + gap])``; the last ``gap`` of them have no partner and mean nothing."""
     return F.zip_with(F.col(values), F.slice(values, 1 + gap, END), lambda a, b: F.xxhash64(a, b))
 
 
+def hashed(docs: DataFrame, column: str) -> DataFrame:
+    """Add ``_hashes`` of the words and ``_shapes``, hashes of their shapes: numbers are cheaper to carry than texts."""
+    text = F.btrim(F.coalesce(F.col(column), F.lit("")), F.lit(EDGES))
+    # runs of small letters and of capitals become one letter; all else stays as it is
+    outline = F.regexp_replace(F.regexp_replace(text, r"\p{Ll}++", "a"), r"\p{Lu}++", "A")
+    none = F.array().cast("array<bigint>")
+
+    def hashes(part: Column) -> Column:
+        return F.when(part == "", none).otherwise(F.transform(F.split(part, BLANK), lambda w: F.xxhash64(w)))
+
+    return docs.withColumns({"_hashes": hashes(text), "_shapes": hashes(outline)})
+
+
 def base_counts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Add the rule counts and ``base_failed``, and the helper columns ``_words, _hashes``.
+    """Add the rule counts and ``base_failed`` to documents with ``_hashes``.
 
     Windows are told apart by 64-bit hashes: two different ones among a million words of a text
     agree with a chance below 10^-7. Every step is a column of its own, so none is computed twice.
     """
     text = F.coalesce(F.col(column), F.lit(""))
-    found = docs.withColumn("_words", words_of(F.col(column)))
-    found = found.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    found = found.withColumn("_pairs", _after("_hashes", 1)).withColumn("_fours", _after("_pairs", 2))
+    found = docs.withColumn("_pairs", _after("_hashes", 1)).withColumn("_fours", _after("_pairs", 2))
     found = found.withColumn("_eights", _after("_fours", 4))
     found = found.withColumn("_grams", F.slice("_eights", 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0))))
     found = found.withColumn("_lines", F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(EDGES)) != ""))
@@ -71,8 +76,8 @@ def base_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     )
     found = found.withColumns(
         {
-            "n_words": F.size("_words").cast("bigint"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
+            "n_words": F.size("_hashes").cast("bigint"),
+            "word_chars": F.length(F.regexp_replace(text, BLANK, "")).cast("bigint"),
             "n_symbols": F.length(F.regexp_replace(text, NOT_SYMBOL, "")).cast("bigint"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
             "n_repeat_words": covered.cast("bigint"),
@@ -82,15 +87,10 @@ def base_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     return found.withColumn("base_failed", failed)
 
 
-def grams(docs: DataFrame, column: str) -> DataFrame:
-    """Add ``_grams``: hash, shape, next hash and next shape of every word of ``_words, _hashes``."""
-    text = F.btrim(F.coalesce(F.col(column), F.lit("")), F.lit(EDGES))
-    # runs of small letters and of capitals become one letter; all else stays as it is
-    outline = F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A")
-    shaped = docs.withColumn("_shapes", F.split(outline, BLANK))
-    after = F.slice("_shapes", 2, END)
-    zipped = F.arrays_zip(F.col("_hashes").alias("h"), F.col("_shapes").alias("s"), F.slice("_hashes", 2, END).alias("g"), after.alias("t"))
-    return shaped.withColumn("_grams", F.when(F.size("_hashes") > 0, zipped)).drop("_shapes")
+def grams() -> Column:
+    """Word, shape, next word and next shape (as hashes) of every word."""
+    after = [F.slice(c, 2, END).alias(n) for c, n in (("_hashes", "g"), ("_shapes", "t"))]
+    return F.arrays_zip(F.col("_hashes").alias("h"), F.col("_shapes").alias("s"), *after)
 
 
 def _word_bucket(h: Column, words: int) -> Column:
@@ -105,21 +105,25 @@ def _shape_bucket(h: Column, s: Column, g: Column, t: Column, words: int, shapes
 def weights(docs: DataFrame, trusted: DataFrame, key: str, words: int = WORD_BUCKETS, shapes: int = SHAPE_BUCKETS) -> DataFrame:
     """``bucket, weight``: the log-likelihood ratio of every bucket.
 
-    ``docs`` has ``_grams``; ``trusted`` is a bounded table of distinct keys. Target counts
+    ``docs`` has ``_hashes`` and ``_shapes``; ``trusted`` is a bounded table of distinct keys. Target counts
     are smoothed towards the raw shares with the weight of one count per bucket, so the
     ratio of n-grams without evidence is near zero.
     """
-    marked = docs.select(key, "_grams").join(F.broadcast(trusted.select(F.col(key), F.lit(1).alias("_trusted"))), key, "left")
-    rows = marked.select(F.coalesce("_trusted", F.lit(0)).alias("trusted"), F.inline("_grams").alias("h", "s", "g", "t"))
+    known = F.broadcast(trusted.select(F.col(key), F.lit(1).alias("_trusted")))
+    marked = docs.select(key, "_hashes", "_shapes").join(known, key, "left")
+    # outer, since the inner form would first evaluate the whole array to filter out empty ones
+    rows = marked.select(F.coalesce("_trusted", F.lit(0)).alias("trusted"), F.inline_outer(grams()).alias("h", "s", "g", "t"))
+    rows = rows.filter("h is not null")
     both = F.array(_word_bucket(F.col("h"), words), _shape_bucket(*map(F.col, "hsgt"), words, shapes))
-    counts = rows.select("trusted", F.explode(both).alias("bucket")).filter("bucket is not null")
+    counts = rows.select("trusted", F.explode_outer(both).alias("bucket")).filter("bucket is not null")
     counts = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
     every = docs.sparkSession.range(words + shapes).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"]).withColumn("shape", F.col("bucket") >= words)
     size = F.when(F.col("shape"), F.lit(shapes)).otherwise(F.lit(words))
-    of_kind = Window.partitionBy("shape")  # as many rows as buckets, whatever the corpus
-    share = (F.col("raw") + 1.0) / (F.sum("raw").over(of_kind) + size)
-    target = (F.col("target") + size * share) / (F.sum("target").over(of_kind) + size)
+    totals = full.groupBy("shape").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
+    full = full.join(F.broadcast(totals), "shape")  # two rows
+    share = (F.col("raw") + 1.0) / (F.col("all_raw") + size)
+    target = (F.col("target") + size * share) / (F.col("all_target") + size)
     return full.select("bucket", F.round(F.log(target / share), 4).alias("weight"))
 
 
@@ -149,9 +153,8 @@ def assess(
     zero and only the base rules decide. Columns named like the new ones are replaced.
     """
     docs = without(docs, OWN)
-    slim = docs.select(F.col(key), F.col(column), words_of(F.col(column)).alias("_words"))
-    slim = slim.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    model = weights(grams(slim, column), trusted, key, word_buckets, shape_buckets).orderBy("bucket").collect()  # one row per bucket
+    slim = hashed(docs.select(F.col(key), F.col(column)), column)
+    model = weights(slim, trusted, key, word_buckets, shape_buckets).orderBy("bucket").collect()  # one row per bucket
     # constant folding turns the text into one array that all rows share
     table = F.split(F.lit(",".join(f"{r['weight']:g}" for r in model)), ",").cast("array<double>")
 
@@ -159,8 +162,8 @@ def assess(
         pair = F.get(table, _shape_bucket(x["h"], x["s"], x["g"], x["t"], word_buckets, shape_buckets))
         return total + F.get(table, _word_bucket(x["h"], word_buckets)) + F.coalesce(pair, F.lit(0.0))
 
-    scored = grams(base_counts(docs, column), column)
-    total = F.coalesce(F.aggregate("_grams", F.lit(0.0), add), F.lit(0.0))
+    scored = base_counts(hashed(docs, column), column)
+    total = F.aggregate(grams(), F.lit(0.0), add)
     scored = scored.withColumn("score", total / F.greatest(F.col("n_words"), F.lit(1)))
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
     return scored.withColumn("kept", kept).select(*docs.columns, *COUNTS, "base_failed", "score", "kept")
