@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import normalise_array
-from ..functions.scalars import eq_target, one_vs_others, to_double
+from ..functions.scalars import above_target, eq_target, one_vs_others, to_double
 from ..operators.encode import encode_first_seen, encode_target
 from ..operators.features import assemble, feature_set, fit_scaler, ovr_targets, scaler_stats, split_xy
 from ..operators.split import ordered_split
@@ -97,6 +97,11 @@ def f06(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", one_vs_others("label", 0).alias("y"))
 
 
+@query("f06_above_zero", "SELECT vec_id, CAST(label > 0 AS INTEGER) AS y FROM embeddings")
+def f06_above(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", above_target("label").alias("y"))
+
+
 @query(
     "f07_ovr_targets",
     """SELECT vec_id, c.cls, CAST(label = c.cls AS INTEGER) AS y

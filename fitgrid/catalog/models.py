@@ -8,7 +8,7 @@ from ..models import classify
 from ..models.classify import REGISTRY, ModelSpec
 from ..models.gini import gini_root_split
 from ..models.kernel import rbf_features, rbf_kernel, rbf_weights
-from ..models.kmeans import fit_kmeans_best_of, lloyd
+from ..models.kmeans import HALF, PRIME, draw_factors, fit_kmeans_best_of, lloyd
 from ..models.linear import fit_ols, ols_1d
 from ..plans.evaluation import MATRIX, fit_spec, hold_out, model_matrix, quality, repeated_runs
 from .base import query, table
@@ -210,11 +210,45 @@ def m09a(spark, sf):
 
 @query("m09b_kmeans_best_of")
 def m09b(spark, sf):
-    best = fit_kmeans_best_of(table(spark, sf, "embeddings"), "embedding", 8)
+    best = fit_kmeans_best_of(table(spark, sf, "embeddings"), "embedding", 8, key="vec_id")
     rows = [(seed, cost, seed == best.seed) for seed, cost in best.costs.items()]
     return spark.createDataFrame(rows, "seed int, cost double, chosen boolean")
 
 
+def _two_starts_sql(seeds: tuple[int, ...], k: int, rounds: int) -> str:
+    """The drawn starts and the rounds after them as chained tables; centres are rows of lists."""
+    ctes = [
+        f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS x,
+  ('0x' || substr(md5(vec_id::VARCHAR), 1, {HALF}))::BIGINT % {PRIME} AS h0,
+  ('0x' || substr(md5(vec_id::VARCHAR), {HALF + 1}, {HALF}))::BIGINT % {PRIME} AS h1 FROM embeddings)"""
+    ]
+    ends = []
+    for seed in seeds:
+        for turn in range(k):
+            f0, f1 = draw_factors(seed, turn)
+            name, chosen = f"s{seed}_{turn}", " UNION ALL ".join(f"SELECT {t} AS cluster, c FROM s{seed}_{t}" for t in range(turn))
+            weight = f"(SELECT min(list_distance(x, c)) ** 2 FROM ({chosen}))" if turn else "1.0::DOUBLE"
+            share = f"(h0 * {f0} % {PRIME} + ((h1 * {f1} % {PRIME})::DOUBLE + 0.5::DOUBLE) / {PRIME}::DOUBLE) / {PRIME}::DOUBLE"
+            ctes.append(f"{name} AS (SELECT arg_min(x, time) AS c FROM (SELECT x, -ln({share}) / {weight} AS time FROM e))")
+        ctes.append(f"k{seed}_0 AS (" + " UNION ALL ".join(f"SELECT {t} AS cluster, c FROM s{seed}_{t}" for t in range(k)) + ")")
+        for i in range(rounds + 1):
+            near = f"SELECT vec_id, any_value(x) AS x, arg_min(cluster, list_distance(x, c)) AS cluster, min(list_distance(x, c)) AS far FROM e, k{seed}_{i} GROUP BY vec_id"
+            ctes.append(f"a{seed}_{i} AS ({near})")
+            ctes.append(f"u{seed}_{i} AS (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{seed}_{i})")
+            means = f"SELECT cluster, pos, avg(v) AS v FROM u{seed}_{i} GROUP BY cluster, pos"
+            ctes.append(f"k{seed}_{i + 1} AS (SELECT cluster, list(v ORDER BY pos) AS c FROM ({means}) GROUP BY cluster)")
+        ends.append(f"SELECT {seed} AS seed, round(sum(far * far), 4) AS cost FROM a{seed}_{rounds}")
+    return "WITH " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(ends)
+
+
+@query("m09c_kmeans_drawn_starts", _two_starts_sql((0, 1), 3, 2))
+def m09c(spark, sf):
+    """Starts drawn over all rows and two rounds after them."""
+    best = fit_kmeans_best_of(table(spark, sf, "embeddings"), "embedding", 3, seeds=(0, 1), max_iter=2, tol=0.0, key="vec_id")
+    out = spark.createDataFrame(list(best.costs.items()), "seed int, cost double")
+    return out.withColumn("cost", F.round("cost", 4))
+
+
 @query("p01_model_matrix")
 def p01(spark, sf):
     return model_matrix(quality_table(spark, sf), "doc_id", QUALITY_FEATURES, "label")

@@ -9,6 +9,7 @@ from .arrays import (
     vote_first_positive,
 )
 from .scalars import (
+    above_target,
     clipped_delta,
     delta,
     eq_target,

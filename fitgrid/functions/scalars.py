@@ -27,6 +27,12 @@ def eq_target(col: Column | str, value) -> Column:
     return F.coalesce((col == F.lit(value)).cast("int"), F.lit(0))
 
 
+def above_target(col: Column | str, bound=0) -> Column:
+    """1 where the value is above ``bound``, else 0; also for null."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.coalesce((col > F.lit(bound)).cast("int"), F.lit(0))
+
+
 def one_vs_others(col: Column | str, cls) -> Column:
     """Binary target: class ``cls`` against all others."""
     return eq_target(col, cls)

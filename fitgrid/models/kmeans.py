@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.sums import partition_sums, rows_as_matrix
 
 MAX_CENTRES = 10_000
-SEEDING_ROWS = 5_000
+# The draw's modulus, a prime, and the hexadecimal digits of each half of the key's hash.
+PRIME = (1 << 31) - 1
+HALF = 15
+
+
+NEAREST_CELLS = 1 << 22
 
 
 def nearest_centres(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the nearest centre, the lowest on ties, and the squared distance to it."""
+    """Number of the nearest centre, the lowest on ties, and the squared distance to it.
+
+    Inner products narrow each row down to the centres that rounding could make nearest;
+    their exact distances decide.
+    """
     best = np.zeros(len(points), dtype=np.int32)
-    cost = np.full(len(points), np.inf)
-    for i, centre in enumerate(centres):
-        gap = points - centre
-        far = np.einsum("ij,ij->i", gap, gap)
-        closer = far < cost
-        best[closer], cost[closer] = i, far[closer]
-    return best, cost
+    step = max(1, NEAREST_CELLS // max(1, len(centres)))
+    square = np.square(centres).sum(axis=1)
+    for at in range(0, len(points), step):
+        part = points[at : at + step]
+        size = np.square(part).sum(axis=1)
+        rough = square[None, :] - 2.0 * (part @ centres.T)
+        slack = 1e-9 * (size + square.max(initial=0.0))
+        close = rough <= (rough.min(axis=1) + slack)[:, None]
+        best[at : at + step] = close.argmax(axis=1)
+        tied = np.flatnonzero(close.sum(axis=1) > 1)
+        least = np.full(len(tied), np.inf)
+        for c in np.flatnonzero(close[tied].any(axis=0)):
+            far = np.where(close[tied, c], np.square(part[tied] - centres[c]).sum(axis=1), np.inf)
+            closer = far < least
+            best[at + tied[closer]], least[closer] = c, far[closer]
+    gap = points - centres[best]
+    return best, np.einsum("ij,ij->i", gap, gap)
 
 
 @dataclass(frozen=True)
@@ -112,17 +134,77 @@ class BestOf:
         return self.costs[self.seed]
 
 
-def spread_start(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """``k`` starting centres drawn in proportion to their squared distance (k-means++)."""
-    rng = np.random.default_rng(seed)
-    chosen = [points[rng.integers(len(points))]]
-    far = np.square(points - chosen[0]).sum(axis=1)
-    while len(chosen) < k:
-        total = far.sum()
-        weights = far / total if total > 0 else None
-        chosen.append(points[rng.choice(len(points), p=weights)])
-        far = np.minimum(far, np.square(points - chosen[-1]).sum(axis=1))
-    return np.array(chosen)
+def draw_factors(seed: int, turn: int) -> tuple[int, int]:
+    """Two multipliers that turn the halves of a key's hash into the draw of one turn of a start."""
+    digest = hashlib.md5(f"{seed}:{turn}".encode()).hexdigest()
+    return tuple(int(digest[a : a + HALF], 16) % (PRIME - 1) + 1 for a in (0, HALF))
+
+
+def _key_halves(key: Column) -> list[Column]:
+    digest = F.md5(key.cast("string"))
+    return [
+        F.pmod(F.conv(F.substring(digest, 1 + a, HALF), 16, 10).cast("bigint"), F.lit(PRIME)).alias(f"h{i}")
+        for i, a in enumerate((0, HALF))
+    ]
+
+
+def _race(starts: np.ndarray, seeds: Sequence[int], turn: int):
+    """Each start's winner of a weighted race among the rows of a partition.
+
+    A row's time is its exponential draw over its squared distance to the centres so far;
+    the least time of all rows is a draw in proportion to the squared distance.
+    """
+    factors = [draw_factors(seed, turn) for seed in seeds]
+
+    def run(batches):
+        best: list[tuple | None] = [None] * len(factors)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = rows_as_matrix(batch.column("x"))
+            h0, h1 = (batch.column(c).to_numpy() for c in ("h0", "h1"))
+            for s, (f0, f1) in enumerate(factors):
+                share = (h0 * f0 % PRIME + (h1 * f1 % PRIME + 0.5) / PRIME) / PRIME
+                weight = nearest_centres(points, starts[s])[1] if turn else np.ones(len(points))
+                time = np.full(len(points), np.inf)
+                np.divide(-np.log(share), weight, out=time, where=weight > 0)
+                # rows of equal time: the least vector, so that the result does not hang on their order
+                i = int(np.lexsort((*points.T[::-1], time))[0]) if (time == time.min()).sum() > 1 else int(time.argmin())
+                found = (float(time[i]), points[i].tolist())
+                if best[s] is None or found < best[s]:
+                    best[s] = found
+        rows = [(s, *b) for s, b in enumerate(best) if b is not None]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.list_(pa.float64()))],
+                names=["start", "time", "x"],
+            )
+
+    return run
+
+
+def spread_starts(data: DataFrame, k: int, seeds: Sequence[int]) -> np.ndarray:
+    """``k`` starting centres for each seed, drawn among all rows in proportion to their squared distance.
+
+    ``data`` has ``x`` and the key's halves ``h0, h1``. One pass finds the next centre of all
+    starts. Where no row is away from a start's centres, its first centre is repeated.
+    """
+    starts = np.empty((len(seeds), 0, 0))
+    for turn in range(k):
+        rows = data.mapInArrow(_race(starts, seeds, turn), "start int, time double, x array<double>")
+        first = F.min(F.struct("time", "x")).alias("first")
+        won = {r["start"]: r["first"] for r in rows.groupBy("start").agg(first).collect()}
+        if not won:
+            raise ValueError("there are no rows")
+        fresh = [won[s]["x"] if math.isfinite(won[s]["time"]) or not turn else starts[s, 0].tolist() for s in range(len(seeds))]
+        added = np.array(fresh, dtype=float)[:, None, :]
+        starts = added if not turn else np.concatenate([starts, added], axis=1)
+    return starts
+
+
+def _spread(points: np.ndarray) -> np.ndarray:
+    """Rows, sums and sums of squares."""
+    return np.stack([np.full(points.shape[1], len(points), dtype=float), points.sum(axis=0), np.square(points).sum(axis=0)])
 
 
 def _costs_and_sums(starts: np.ndarray):
@@ -151,22 +233,24 @@ def fit_kmeans_best_of(
     seeds: Sequence[int] = tuple(range(10)),
     max_iter: int = 100,
     tol: float = 1e-4,
-    seeding_rows: int = SEEDING_ROWS,
+    key: str | None = None,
 ) -> BestOf:
     """Best of several starts by cost over all rows; the lowest seed on ties.
 
     All starts advance in the same passes, so ten starts read the data as often
-    as one. Only the starting points come from a hashed subset; every round and
-    the final costs use all rows. A start is done when its centres' squared moves
+    as one, and every row takes part in all of them, the drawing of the starts
+    included. ``key`` names the rows for the draws; without one they are named by
+    their vector, and equal vectors are then drawn as one. A start is done when its centres' squared moves
     add up to at most ``tol`` times the mean variance of a feature.
     """
-    data = df.select(F.col(col).cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    name = F.col(key) if key else F.to_json(F.array(F.col(col).cast("array<double>")))
+    data = df.select(F.col(col).cast("array<double>").alias("x"), *_key_halves(name)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        subset = data.orderBy(F.xxhash64("x"), "x").limit(seeding_rows).collect()
-        points = np.array([r["x"] for r in subset])
-        starts = np.array([spread_start(points, k, seed) for seed in seeds])
         partitions = data.rdd.getNumPartitions()
-        still = tol * points.var(axis=0).mean()
+        starts = spread_starts(data, k, list(seeds))
+        middle = starts[0, 0]
+        rows, total, squares = partition_sums(data, lambda b: _spread(rows_as_matrix(b.column("x")) - middle), partitions).reshape(3, -1)
+        still = tol * float((squares / rows - np.square(total / rows)).mean())
         moving = np.ones(len(starts), dtype=bool)
         costs = np.zeros(len(starts))
         for turn in range(max_iter + 1):

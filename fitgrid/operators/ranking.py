@@ -28,7 +28,8 @@ def champions(
 ) -> DataFrame:
     """Winner of every objective, overall or per group; ties go to the lowest name.
 
-    One aggregate finds all winners; rows ``(*keys, objective, *names, value)``.
+    An objective whose metric is null everywhere has no winner. One aggregate finds
+    all winners; rows ``(*keys, objective, *names, value)``.
     """
     aggs = []
     for title, (metric, direction) in objectives.items():
@@ -37,4 +38,5 @@ def champions(
         record = F.struct(F.lit(title).alias("objective"), *names, value.alias("value"))
         aggs.append(F.min_by(record, F.when(value.isNotNull(), rank)))
     grouped = df.groupBy(*keys) if keys else df.groupBy()
-    return grouped.agg(F.array(*aggs).alias("found")).select(*keys, F.inline("found"))
+    found = F.filter(F.array(*aggs), lambda x: x.isNotNull())
+    return grouped.agg(found.alias("found")).select(*keys, F.inline("found"))

@@ -31,9 +31,11 @@ def silhouette_exact(
 ) -> DataFrame:
     """Silhouette of every row under Euclidean distance, from all pairs of rows.
 
-    The work is quadratic by definition, the data moved is not: rows are hashed
-    into blocks, a task holds two blocks, computes their distances as a matrix
-    and emits one sum per row and cluster, never a pair.
+    The work is quadratic by definition. Rows are hashed into blocks, a task holds
+    two blocks, computes their distances as a matrix and emits one sum per row and
+    cluster, never a pair. Each row is sent to every other block, so
+    n² / ``block_rows`` rows are moved: use ``silhouette_squared`` for large tables.
+    A row that is at distance zero from both clusters scores 0.
     """
     rows = df.count()
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -66,7 +68,8 @@ def silhouette_exact(
         F.max(F.when(own & (size > 1), F.col("total") / (size - 1))).alias("a"),
         F.min(F.when(~own, F.col("total") / size)).alias("b"),
     )
-    score = (F.col("b") - F.col("a")) / F.greatest("a", "b")
+    # equal points on both sides: neither cluster is nearer
+    score = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
     return means.select(
         F.col("key").alias(key), "cluster", F.coalesce(score, F.lit(0.0)).alias("silhouette")
     )

@@ -18,6 +18,15 @@ HASH_DIGITS = 15
 HASH_SPACE = 16**HASH_DIGITS
 
 
+def counted(df: DataFrame, names: Sequence[str]) -> int:
+    """Number of rows; an error if one of the named columns is null anywhere."""
+    missing = F.exists(F.array(*[F.col(n).isNull() for n in names]), lambda m: m)
+    rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(missing)).first()
+    if nulls:
+        raise ValueError(f"{nulls} rows have a null in {list(names)}")
+    return rows
+
+
 def ordered_split(
     df: DataFrame,
     order_by: Sequence[str],
@@ -25,8 +34,11 @@ def ordered_split(
     rounding: str = "floor",
     sort_below: int = SORT_BELOW,
 ) -> DataFrame:
-    """First ``floor`` or ``ceil`` of ``ratio * n`` rows in ``order_by`` are ``train``."""
-    rows = df.count()
+    """First ``floor`` or ``ceil`` of ``ratio * n`` rows in ``order_by`` are ``train``.
+
+    Rows without a place in the order are refused.
+    """
+    rows = counted(df, order_by)
     size = {"floor": math.floor, "ceil": math.ceil}[rounding](ratio * rows)
     if size == 0:
         return df.withColumn("part", F.lit("test"))
@@ -66,13 +78,13 @@ def random_split(
 ) -> DataFrame:
     """``ceil(test_size * n)`` rows with the lowest hash of their key are ``test``.
 
-    The key has to be unique. With ``exact=False`` the border is the share of
+    The key has to be unique and without nulls. With ``exact=False`` the border is the share of
     the hash space instead of a counted row: one pass, size only nearly exact.
     """
     key = [key] if isinstance(key, str) else list(key)
     hashed = df.withColumn("_hash", hash_position(key, seed))
     if exact:
-        rows = df.count()
+        rows = counted(df, key)
         size = math.ceil(test_size * rows)
         if size == 0:
             return df.withColumn("part", F.lit("train"))

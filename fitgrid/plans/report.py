@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,9 +25,6 @@ ALGORITHM_NAMES = {
     "Random Forest": "Random Forest",
     "MLPClassifier": "Neural Network",
     "MLP": "Neural Network",
-    "DecisionTree": "Decision Tree",
-    "SVC (One-vs-Rest)": "SVM",
-    "SVC (Gaussian/RBF)": "SVM (RBF)",
 }
 CATEGORIES = {
     "SVM": "Support Vector Machines",
@@ -44,15 +41,17 @@ HEADINGS = ("Library", "Algorithm", "Training (s)", "Inference (s)", "Accuracy",
 OPTIONAL_HEADINGS = ("CPU (%)", "Peak Memory (MB)")
 
 
-def standardise(results: DataFrame) -> DataFrame:
-    """Add ``algorithm`` and ``category`` to result records."""
-    named = lookup(results, "model", ALGORITHM_NAMES, "algorithm")
+def standardise(results: DataFrame, more_names: Mapping[str, str] | None = None) -> DataFrame:
+    """Add ``algorithm`` and ``category`` to result records; ``more_names`` adds to the standard names."""
+    named = lookup(results, "model", {**ALGORITHM_NAMES, **(more_names or {})}, "algorithm")
     return lookup(named, "algorithm", CATEGORIES, "category", "Other")
 
 
-def analyse(results: DataFrame, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+def analyse(
+    results: DataFrame, digits: int = 6, more_names: Mapping[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Standardised records, and their statistics by library and algorithm."""
-    named = standardise(results)
+    named = standardise(results, more_names)
     return named, group_stats(named, ["library", "algorithm"], METRICS, digits=digits, optional=OPTIONAL_METRICS)
 
 

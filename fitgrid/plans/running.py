@@ -18,6 +18,7 @@ from .selection import ordinal
 
 ROWS_PER_RANGE = 500_000
 MAX_RANGES = 10_000
+SAMPLED_PER_RANGE = 20
 
 
 def cut_points(df: DataFrame, col: Column, ranges: int) -> list[float]:
@@ -39,6 +40,18 @@ def with_range(df: DataFrame, order: Column, ranges: int, out: str = "_range") -
     return bucketed.withColumn(out, F.col(out).cast("int")).drop(mark)
 
 
+def with_text_range(df: DataFrame, order: Column, ranges: int, rows: int, out: str = "_range") -> DataFrame:
+    """``with_range`` for text: cut points from a sorted sample of bounded size."""
+    wanted = SAMPLED_PER_RANGE * ranges
+    found = df.select(order.alias("v")).sample(fraction=min(1.0, wanted / rows), seed=ranges).collect()
+    values = sorted((r["v"] for r in found), key=lambda v: v.encode())
+    cuts = sorted({values[len(values) * i // ranges] for i in range(1, ranges)} if values else (), key=lambda v: v.encode())
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    below = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (c < order).cast("int"))
+    return df.withColumn(out, below)
+
+
 def running_totals(
     df: DataFrame,
     order_by: Sequence[str],
@@ -48,16 +61,16 @@ def running_totals(
     """Add one inclusive running total per measure, in the order given.
 
     ``order_by`` must make the rows' order unique and hold no nulls; its first
-    column decides the range and has to be a number, date or timestamp once there
-    is more than one.
+    column, a number, date, timestamp or text, decides the range.
     """
     names = list(measures)
     rows = df.count()
     ranges = min(MAX_RANGES, max(1, math.ceil(rows / rows_per_range)))
     lead = ordinal(df, order_by[0])
     if ranges > 1 and isinstance(df.schema[order_by[0]].dataType, T.StringType):
-        raise TypeError("the leading order column must be a number, date or timestamp")
-    ranged = with_range(df, lead, ranges)
+        ranged = with_text_range(df, lead, ranges, rows)
+    else:
+        ranged = with_range(df, lead, ranges)
     window = (
         Window.partitionBy("_range")
         .orderBy(*order_by)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SORT_BELOW = 200_000
 ACCURACY = 10_000
+SAMPLE = 4_000
 
 
 def ordinal(df: DataFrame, name: str) -> Column:
@@ -64,16 +65,28 @@ def _sketch(scope: DataFrame, head: Column, k: int, inside: int) -> tuple:
     return tuple(scope.agg(F.percentile_approx(head, wanted, ACCURACY)).first()[0])
 
 
+def _sample(scope: DataFrame, head: Column, k: int, inside: int) -> tuple:
+    """The same proposal for text, from a sorted sample of bounded size; exact counts decide."""
+    rows = scope.select(head.alias("v")).sample(fraction=min(1.0, SAMPLE / inside), seed=inside).collect()
+    values = sorted((r["v"] for r in rows), key=lambda v: v.encode())
+    if not values:  # a very unlikely draw: any value keeps the search going
+        return (scope.select(F.min(head)).first()[0],) * 2
+    place, slack = k / inside * len(values), 2.5 * len(values) ** 0.5
+    return values[max(0, int(place - slack))], values[min(len(values) - 1, int(place + slack))]
+
+
 def _descend(
     keys: DataFrame, cols: list[str], k: int, inside: int, sort_below: int, narrow: Narrow | None = None
 ) -> list:
     head = F.col(cols[0])
     numeric = isinstance(keys.schema[cols[0]].dataType, T.NumericType)
-    if inside > sort_below and not numeric and narrow is None:
-        raise TypeError("the leading order column must be a number, date or timestamp")
+    text = isinstance(keys.schema[cols[0]].dataType, T.StringType)
+    if inside > sort_below and not (numeric or text) and narrow is None:
+        raise TypeError("the leading order column must be a number, date, timestamp or text")
+    propose = _sample if text else _sketch
     scope, floor, ceiling = keys, None, None
     while inside > sort_below:
-        low, high = narrow(floor, ceiling, k, inside) if narrow else _sketch(scope, head, k, inside)
+        low, high = narrow(floor, ceiling, k, inside) if narrow else propose(scope, head, k, inside)
         below, upto_low, below_high, upto_high = scope.agg(
             F.count_if(head < F.lit(low)),
             F.count_if(head <= F.lit(low)),

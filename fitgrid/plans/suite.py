@@ -147,7 +147,7 @@ def run_kmeans(
     points = df.select(key, F.col(col).cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows, width = points.count(), len(points.select("x").first()[0])
-        best, fit_time = timed(lambda: fit_kmeans_best_of(points, "x", k, range(starts)))
+        best, fit_time = timed(lambda: fit_kmeans_best_of(points, "x", k, range(starts), key=key))
         assigned = assign_cluster(points, "x", best.centres)
         _, test_time = timed(lambda: assigned.groupBy("cluster").count().collect())
         if exact:

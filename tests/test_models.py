@@ -8,7 +8,7 @@ from fitgrid.catalog.documents import LANGUAGE_FEATURES, QUALITY_FEATURES, langu
 from fitgrid.models.classify import REGISTRY, decision_tree, linear_svc, linear_svc_hinge
 from fitgrid.models.gini import gini_root_split
 from fitgrid.models.kernel import rbf_features, rbf_kernel
-from fitgrid.models.kmeans import Centres, assign_cluster, fit_kmeans_best_of, lloyd
+from fitgrid.models.kmeans import Centres, assign_cluster, fit_kmeans_best_of, lloyd, nearest_centres
 from fitgrid.models.linear import LinearModel, fit_ols
 from fitgrid.models.svm import LinearMachine
 from fitgrid.plans import evaluation
@@ -140,6 +140,49 @@ def test_best_of_keeps_the_cheapest_start(spark):
     assert near.select("cluster").distinct().count() == 4
 
 
+def test_starts_are_drawn_among_all_rows(spark):
+    """Ten rows far away among 60,000 are found by every start."""
+    rng = np.random.default_rng(3)
+    near = [(i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.normal(size=(60_000, 2)))]
+    far = [(60_000 + i, [1e4 + float(a), 1e4]) for i, a in enumerate(rng.normal(size=10))]
+    best = fit_kmeans_best_of(spark.createDataFrame(near + far, "id bigint, x array<double>"), "x", 3, key="id")
+    assert max(best.costs.values()) < 2e5
+
+
+def test_a_repeated_point_does_not_fill_the_starts(spark):
+    rng = np.random.default_rng(4)
+    rows = [[0.0, 0.0]] * 6000
+    for centre in (40.0, 80.0, 120.0):
+        rows += (rng.normal(size=(3000, 2)) + centre).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, x array<double>")
+    best = fit_kmeans_best_of(df, "x", 4, key="id")
+    assert best.cost < 20_000
+
+
+def test_starts_where_all_rows_are_equal(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id bigint, x array<double>")
+    assert fit_kmeans_best_of(df, "x", 3, seeds=(0, 1), key="id").cost == 0.0
+
+
+def test_nearest_centre_is_exact_on_ties_and_large_offsets():
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 4, (500, 3)) + 1e6
+    centres = np.concatenate([points[:20], points[:5]])
+    best, cost = nearest_centres(points, centres)
+    far = np.square(points[:, None] - centres[None]).sum(-1)
+    assert (best == far.argmin(1)).all() and (cost == far.min(1)).all()
+
+
+@pytest.mark.parametrize("most", [40, 1])
+def test_least_squares_over_complete_rows_on_both_paths(spark, most):
+    rows = [(float(i), float(i * i % 17), 3.0 * i + (i * i % 17) + 1.0) for i in range(50)]
+    rows += [(None, 5.0, 1e6), (5.0, None, 1e6), (7.0, 1.0, None)]
+    model = fit_ols(spark.createDataFrame(rows, "a double, b double, y double"), ["a", "b"], "y", most)
+    assert (*model.coefficients, model.intercept) == pytest.approx((3.0, 1.0, 1.0))
+    twice = spark.createDataFrame([(float(i), 3.0 * i, 2.0 * i) for i in range(9)], "a double, b double, y double")
+    assert fit_ols(twice, ["a", "b"], "y", most).coefficients == pytest.approx((0.2, 0.6))
+
+
 def test_ten_starts_find_the_blobs(spark):
     points = make_blobs(spark, 800, 8, 6)
     best = fit_kmeans_best_of(points, "features", 8)

@@ -71,3 +71,9 @@ def test_exact_silhouette_over_blocks(spark, block_rows):
 def test_squared_silhouette_separates(frame):
     rows = [(1, [0.0, 0.0], 0), (2, [0.1, 0.0], 0), (3, [9.0, 9.0], 1), (4, [9.1, 9.0], 1)]
     assert silhouette_squared(frame(rows, "id int, x array<double>, c int"), "x", "c").first()[0] > 0.99
+
+
+def test_silhouette_of_equal_points_in_two_clusters(spark):
+    rows = [(i, [1.0, 1.0], i % 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "id bigint, x array<double>, c int")
+    assert {r["silhouette"] for r in silhouette_exact(df, "id", "x", "c").collect()} == {0.0}

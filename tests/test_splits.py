@@ -61,10 +61,32 @@ def test_kth_row_of_timestamps(spark):
     assert df.filter(at_or_before(df, ["t", "id"], border)).count() == 100
 
 
-def test_text_cannot_lead_a_large_order(spark):
-    df = spark.range(100).select(F.col("id").cast("string").alias("s"))
-    with pytest.raises(TypeError):
-        kth_row(df, ["s"], 50, sort_below=10)
+@pytest.mark.parametrize("k", [1, 77, 500, 1000])
+def test_text_leads_an_order_of_any_size(spark, k):
+    df = spark.range(1000).select((F.col("id") % 300).cast("string").alias("s"), "id")
+    want = sorted((str(i % 300), i) for i in range(1000))[k - 1]
+    assert kth_row(df, ["s", "id"], k, sort_below=10) == want
+    assert kth_row(df, ["s", "id"], k) == want
+
+
+def test_split_by_text_is_exact_on_the_narrowed_path(spark):
+    df = spark.range(1000).select(F.concat(F.lit("k"), F.col("id") * 7 % 1000).alias("s"))
+    parts = ordered_split(df, ["s"], 0.8, sort_below=20).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in parts} == {"train": 800, "test": 200}
+
+
+def test_rank_by_text_over_ranges(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("s")).repartition(5)
+    got = {r["s"]: r["rank"] for r in global_rank(df, ["s"], rows_per_range=90).collect()}
+    assert got == {s: i + 1 for i, s in enumerate(sorted(str(i) for i in range(1000)))}
+
+
+def test_null_order_values_are_refused(spark):
+    df = spark.range(100).select(F.when(F.col("id") >= 20, F.col("id")).alias("v"), "id")
+    with pytest.raises(ValueError, match="20 rows"):
+        ordered_split(df, ["v"], 0.8)
+    with pytest.raises(ValueError, match="20 rows"):
+        random_split(df, "v")
 
 
 def test_global_rank_over_ranges(spark):

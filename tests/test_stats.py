@@ -128,3 +128,11 @@ def test_not_a_number_sorts_last_in_both_ways(frame):
     for rows in (1000, 10):
         row = stats.latency_summary(df, ["k"], "v", (0.5, 1.0), group_rows=rows).first()
         assert row["p50"] == 20.0 and math.isnan(row["p100"])
+
+
+def test_objective_without_values_has_no_champion(frame):
+    df = frame([("a", 1.0, None), ("b", 2.0, None)], "n string, t double, q double")
+    rows = champions(df, {"fast": ("t", "min"), "good": ("q", "max")}, ["n"]).collect()
+    assert [(r["objective"], r["n"]) for r in rows] == [("fast", "a")]
+    grouped = champions(df, {"good": ("q", "max")}, ["t"], keys=["n"])
+    assert grouped.count() == 0
