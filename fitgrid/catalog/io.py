@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.features import fit_scaler
+from ..operators.split import ordered_split
 from ..operators.stats import flatten_stats, stats_struct
+from ..plans.suite import numeric_table
 from ..session import scratch_path
 from ..sources.blobs import blobs
 from ..sources.results import flatten_report, read_results, write_result_arrays, write_results
@@ -116,3 +119,32 @@ def s07(spark, sf):
     points = blobs(table(spark, sf, "orders"), "o_orderkey", 8, 4, 42)
     wide = points.select("o_orderkey", "cluster", F.posexplode("features").alias("pos", "value"))
     return wide.withColumn("value", F.round("value", 6))
+
+
+@query(
+    "s08_prepared_table",
+    """WITH priorities AS (SELECT o_orderpriority, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM orders GROUP BY 1),
+statuses AS (SELECT o_orderstatus, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS label FROM orders GROUP BY 1),
+t AS (SELECT o_orderkey AS id, o_totalprice AS price, o_custkey::DOUBLE AS customer, code::DOUBLE AS priority_code, label::INTEGER AS label,
+      row_number() OVER (ORDER BY o_orderkey) <= floor(0.8::DOUBLE * count(*) OVER ()) AS train
+      FROM orders JOIN priorities USING (o_orderpriority) JOIN statuses USING (o_orderstatus)),
+m AS (SELECT avg(price) AS p, stddev_pop(price) AS ps, avg(customer) AS c, stddev_pop(customer) AS cs,
+      avg(priority_code) AS k, stddev_pop(priority_code) AS ks FROM t WHERE train)
+SELECT id, label, CASE WHEN train THEN 'train' ELSE 'test' END AS part, round((price - p) / ps, 6) + 0.0::DOUBLE AS price,
+       round((customer - c) / cs, 6) + 0.0::DOUBLE AS customer, round((priority_code - k) / ks, 6) + 0.0::DOUBLE AS priority_code
+FROM t, m""",
+)
+def s08(spark, sf):
+    """A delimited file to scaled vectors: lenient numbers, codes by first appearance, split by place."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"),
+        F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("y"),
+    )
+    path = scratch_path(spark, "prepared")
+    write_csv(orders, path, ";", quote_all=True)
+    raw = read_labelled_csv(spark, path, "id bigint, price string, customer string, priority string, y string", ";").frame
+    whole, features = numeric_table(raw, "id", ["price", "customer"], ["priority"], "y")
+    split = ordered_split(whole, ["id"], 0.8)
+    scaler = fit_scaler(split.filter("part = 'train'"), features)
+    scaled = scaler.transform(split).select("id", F.col("label").cast("int").alias("label"), "part", *features)
+    return scaled.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in features})

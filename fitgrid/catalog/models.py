@@ -176,6 +176,12 @@ def m06b(spark, sf):
     return one_model(spark, quality_table(spark, sf), QUALITY_FEATURES, REGISTRY["DecisionTreeClassifier"])
 
 
+@query("m06c_decision_tree_depth_10")
+def m06c(spark, sf):
+    spec = ModelSpec("Decision Tree", "raw", lambda d, k, seed, x, y: classify.decision_tree(x, y, max_depth=10, seed=seed))
+    return one_model(spark, quality_table(spark, sf), QUALITY_FEATURES, spec)
+
+
 @query("m07_random_forest")
 def m07(spark, sf):
     return one_model(spark, quality_table(spark, sf), QUALITY_FEATURES, REGISTRY["RandomForestClassifier"])

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import to_gb, to_mb
 from ..functions.text import compact_stamp, epoch_seconds, file_stem, fmt_mean_std, long_stamp, thousands, title_case
-from ..operators.stats import group_stats
-from ..plans.report import CATEGORIES, report_rows
+from ..operators.stats import dataset_profile, group_stats
+from ..plans.report import CATEGORIES, CHAMPION_LINES, report_document, report_rows
 from .analytics import case_sql
 from .base import query, table
 
@@ -78,21 +78,29 @@ def x06(spark, sf):
 ALGORITHM_OF_FLAG = {"A": "SVM", "N": "Decision Tree", "R": "Regression"}
 
 
-@query(
-    "x07_report_rows",
-    f"""WITH s AS (
+REPORT_STATS_SQL = f"""s AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS library, {case_sql('l_returnflag', ALGORITHM_OF_FLAG, 'NULL')} AS algorithm,
          round(avg(l_quantity), 6) AS t, round(stddev_samp(l_quantity), 6) AS ts,
          round(avg(l_tax), 6) AS i, round(stddev_samp(l_tax), 6) AS "is",
          round(avg(l_discount), 6) AS a, round(stddev_samp(l_discount), 6) AS "as",
          round(avg(l_linenumber), 6) AS m, round(avg(l_quantity), 6) AS c
-  FROM lineitem GROUP BY l_suppkey, l_returnflag)
+  FROM lineitem GROUP BY l_suppkey, l_returnflag)"""
+
+
+@query(
+    "x07_report_rows",
+    f"""WITH {REPORT_STATS_SQL}
 SELECT {case_sql('algorithm', CATEGORIES, "'Other'")} AS category, library, algorithm,
        printf('| %s | %s | %.6f±%.6f | %.6f±%.6f | %.4f±%.4f | %.2f | %.2f |',
               library, algorithm, t, ts, i, "is", a, "as", m, c) AS line
 FROM s""",
 )
 def x07(spark, sf):
+    return report_rows(line_stats(spark, sf))
+
+
+def line_stats(spark, sf):
+    """Statistics of order lines in the part of benchmark runs: a library per supplier."""
     flags = F.create_map(*[F.lit(x) for pair in ALGORITHM_OF_FLAG.items() for x in pair])
     runs = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("library"),
@@ -103,10 +111,43 @@ def x07(spark, sf):
         F.col("l_linenumber").alias("memory_usage_mb"),
         F.col("l_quantity").alias("cpu_usage_percent"),
     )
-    stats = group_stats(
+    return group_stats(
         runs,
         ["library", "algorithm"],
         ["train_time_sec", "inference_time_sec", "accuracy", "memory_usage_mb"],
         optional=["cpu_usage_percent", "peak_memory_mb"],
     )
-    return report_rows(stats)
+
+
+def _document_sql() -> str:
+    heads = ["Library", "Algorithm", "Training (s)", "Inference (s)", "Accuracy", "Memory (MB)", "CPU (%)"]
+    header, rule = "| " + " | ".join(heads) + " |", "|" + "|".join("-" * (len(h) + 2) for h in heads) + "|"
+    filed = case_sql("algorithm", CATEGORIES, "'Other'")
+    rows = """printf('| %s | %s | %.6f±%.6f | %.6f±%.6f | %.4f±%.4f | %.2f | %.2f |',
+       library, algorithm, t, ts, i, "is", a, "as", m, c)"""
+    parts = [
+        "SELECT '0' AS section, '' AS place, '# ML Benchmark Report: Order Lines' AS line",
+        "SELECT '1', '0', '## Dataset Information'",
+        "SELECT '1', '1', '- **Name**: order lines'",
+        "SELECT '1', '2', printf('- **Size**: %s (%s samples)', CASE WHEN count(*) < 1000 THEN 'small' ELSE 'large' END, format('{:,}', count(*))) FROM lineitem",
+        "SELECT '1', '3', '- **Features**: 4'",
+        "SELECT '1', '4', '- **Classes**: ' || count(DISTINCT l_returnflag) FROM lineitem",
+        "SELECT '1', '5', '- **Timestamp**: 2025-01-02 03:04:05'",
+        *[f"SELECT DISTINCT '2:' || {filed}, '0{n}', {text} FROM s" for n, text in enumerate((f"'## ' || {filed}", f"'{header}'", f"'{rule}'"))],
+        f"SELECT '2:' || {filed}, '1:' || library || ':' || algorithm, {rows} FROM s",
+        "SELECT '3', '0', '## Performance Champions'",
+    ]
+    for place, (objective, (title, digits, unit)) in enumerate(CHAMPION_LINES.items(), 1):
+        column, order = {"fastest_training": ("t", "t"), "fastest_inference": ("i", "i"), "best_accuracy": ("a", "a DESC"), "most_efficient": ("m", "m")}[objective]
+        parts.append(
+            f"(SELECT '3', '{place}', printf('- **{title}**: %s (%s) - %.{digits}f{unit}', algorithm, library, {column}) "
+            f"FROM s ORDER BY {order}, library, algorithm LIMIT 1)"
+        )
+    return f"WITH {REPORT_STATS_SQL}\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("x08_report_document", _document_sql())
+def x08(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_quantity", "l_tax", "l_discount", "l_linenumber", "l_returnflag")
+    stamp = F.lit("2025-01-02 03:04:05").cast("timestamp")
+    return report_document(dataset_profile(lines, "l_returnflag"), line_stats(spark, sf), "order lines", stamp)

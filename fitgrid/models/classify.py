@@ -56,9 +56,12 @@ def rbf_svm(
 
 
 def decision_tree(
-    features: str = "features", label: str = "label", max_depth: int | None = 10, seed: int = 42, max_bins: int = 64
+    features: str = "features", label: str = "label", max_depth: int | None = None, seed: int = 42, max_bins: int = 64
 ) -> Estimator:
-    """Gini tree; ``max_depth=None`` grows to the deepest level MLlib allows."""
+    """Gini tree; ``max_depth=None`` grows to level 30, the deepest that MLlib allows.
+
+    MLlib proposes at most ``max_bins`` thresholds per feature, from a sample of about 10,000 rows.
+    """
     return DecisionTreeClassifier(
         featuresCol=features, labelCol=label, impurity="gini", maxDepth=max_depth or DEEPEST, maxBins=max_bins, seed=seed
     )
@@ -68,7 +71,7 @@ def random_forest(
     features: str = "features",
     label: str = "label",
     trees: int = 100,
-    max_depth: int | None = 10,
+    max_depth: int | None = None,
     seed: int = 42,
     max_bins: int = 64,
 ) -> Estimator:

@@ -79,10 +79,13 @@ def sample_stats(df: DataFrame, keys: Sequence[str], col: str, ddof: int = 1, si
 
 
 def stats_by_key(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], ddof: int = 0) -> DataFrame:
-    """Group under the composed key ``a_b`` and nest the statistics of each metric."""
-    named = [F.first(k).alias(k) for k in keys]
+    """Statistics of each metric per group, nested, with the composed key ``a_b`` beside the keys.
+
+    Groups are told apart by their keys, so two that compose to the same text stay two.
+    """
     nested = [F.struct(*sample_fields(m, ddof)).alias(f"{m}_stats") for m in metrics]
-    return df.groupBy(F.concat_ws("_", *keys).alias("group_key")).agg(*named, *nested)
+    grouped = df.groupBy(*keys).agg(*nested)
+    return grouped.select(F.concat_ws("_", *keys).alias("group_key"), *grouped.columns)
 
 
 def latency_summary(

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import fixed, fmt_mean_std, thousands, title_case
+from ..functions.text import fixed, fmt_mean_std, long_stamp, thousands, title_case
 from ..operators.features import lookup
 from ..operators.ranking import OBJECTIVES, champions
 from ..operators.stats import group_stats
@@ -35,6 +35,13 @@ CATEGORIES = {
     "Random Forest": "Tree-Based Models",
     "Neural Network": "Neural Networks",
 }
+# Title, decimals and unit of each champion's line in the report, in this order.
+CHAMPION_LINES = {
+    "fastest_training": ("🏃 Fastest Training", 6, "s"),
+    "fastest_inference": ("⚡ Fastest Inference", 6, "s"),
+    "best_accuracy": ("🎯 Best Accuracy", 4, ""),
+    "most_efficient": ("💾 Most Memory Efficient", 2, " MB"),
+}
 METRICS = ("train_time_sec", "inference_time_sec", "accuracy", "memory_usage_mb")
 OPTIONAL_METRICS = ("cpu_usage_percent", "peak_memory_mb")
 HEADINGS = ("Library", "Algorithm", "Training (s)", "Inference (s)", "Accuracy", "Memory (MB)")
@@ -81,16 +88,18 @@ def report_rows(stats: DataFrame) -> DataFrame:
     return filed.select("category", "library", "algorithm", table_row(report_cells(stats)).alias("line"))
 
 
-def report_document(profile: DataFrame, stats: DataFrame, name: str) -> DataFrame:
+def report_document(profile: DataFrame, stats: DataFrame, name: str, stamp: Column | None = None) -> DataFrame:
     """The whole report as ordered lines ``(section, place, line)``.
 
+    ``stamp`` is the time it names, by default now.
+
     ``section`` and ``place`` sort the document; groups of runs are few, so the
     ordered lines may be written by one task.
     """
     spark = stats.sparkSession
     title = spark.createDataFrame([(name,)], "name string").select(
         F.lit("0").alias("section"), F.lit("").alias("place"),
-        F.concat(F.lit("# Benchmark Report: "), title_case(F.col("name"))).alias("line"),
+        F.concat(F.lit("# ML Benchmark Report: "), title_case(F.col("name"))).alias("line"),
     )
     facts = profile.select(
         F.lit("1").alias("section"),
@@ -101,6 +110,7 @@ def report_document(profile: DataFrame, stats: DataFrame, name: str) -> DataFram
                 F.concat(F.lit("- **Size**: "), "size_category", F.lit(" ("), thousands(F.col("n_samples")), F.lit(" samples)")),
                 F.concat(F.lit("- **Features**: "), F.col("n_features").cast("string")),
                 F.concat(F.lit("- **Classes**: "), F.col("n_classes").cast("string")),
+                F.concat(F.lit("- **Timestamp**: "), long_stamp(F.current_timestamp() if stamp is None else stamp)),
             )
         ).alias("pos", "line"),
     ).select("section", F.col("pos").cast("string").alias("place"), "line")
@@ -117,13 +127,14 @@ def report_document(profile: DataFrame, stats: DataFrame, name: str) -> DataFram
     ).select("section", F.concat(F.lit("0"), F.col("pos").cast("string")).alias("place"), "line")
     body = rows.select(section, F.concat(F.lit("1:"), "library", F.lit(":"), "algorithm").alias("place"), "line")
 
+    value, place, text = F.col("value"), F.lit(None), F.lit(None)
+    for n, (objective, (heading, digits, unit)) in enumerate(CHAMPION_LINES.items(), 1):
+        mine = F.col("objective") == objective
+        place = F.when(mine, F.lit(str(n))).otherwise(place)
+        head = F.concat(F.lit(f"- **{heading}**: "), "algorithm", F.lit(" ("), "library", F.lit(") - "))
+        text = F.when(mine, F.concat(head, fixed(value, digits), F.lit(unit))).otherwise(text)
     winners = champions(stats, OBJECTIVES, ["library", "algorithm"]).select(
-        F.lit("3").alias("section"),
-        F.concat(F.lit("1:"), "objective").alias("place"),
-        F.concat(
-            F.lit("- **"), title_case(F.translate("objective", "_", " ")), F.lit("**: "),
-            F.col("algorithm"), F.lit(" ("), F.col("library"), F.lit(") - "), fixed(F.col("value"), 6),
-        ).alias("line"),
+        F.lit("3").alias("section"), place.cast("string").alias("place"), text.alias("line")
     )
     crown = spark.createDataFrame([("3", "0", "## Performance Champions")], "section string, place string, line string")
     whole = title

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .tables import STAMP
 
+DOCUMENT_BYTES = 64 << 20
+
 
 def read_results(
     spark: SparkSession, path: str, lines: bool = True, schema: T.StructType | str | None = None
@@ -28,12 +30,21 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.option("timestampNTZFormat", STAMP).json(path)
 
 
-def write_result_arrays(df: DataFrame, path: str, key: str, records_per_file: int = 1000) -> None:
-    """Files that each hold one JSON array of about ``records_per_file`` records."""
-    files = max(1, math.ceil(df.count() / records_per_file))
-    document = F.pmod(F.xxhash64(key), F.lit(files)).alias("document")
-    arrays = df.groupBy(document).agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"timestampNTZFormat": STAMP}).alias("value"))
-    arrays.write.partitionBy("document").text(path)
+def write_result_arrays(df: DataFrame, path: str, key: str, document_bytes: int = DOCUMENT_BYTES) -> None:
+    """Files that each hold one JSON array of about ``document_bytes``, in one folder.
+
+    A document is one row of one task, so it has to fit into memory; their number follows the
+    table's size as text. Records are dealt by their key and all their fields, so a frequent key
+    is spread.
+    """
+    options = {"timestampNTZFormat": STAMP}
+    record = F.to_json(F.struct(*df.columns), options)
+    size = df.agg(F.sum(F.octet_length(record))).first()[0] or 0
+    files = max(1, math.ceil(size / document_bytes))
+    document = F.pmod(F.xxhash64(key, *df.columns), F.lit(files)).alias("document")
+    arrays = df.groupBy(document).agg(F.to_json(F.collect_list(F.struct(*df.columns)), options).alias("value"))
+    # every file has to hold a single row: one array is one document
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def flatten_report(df: DataFrame, struct_col: str) -> DataFrame:

@@ -41,13 +41,27 @@ def test_document_order(frame):
     runs = frame(RUNS, schemas.RESULT)
     named, stats = analyse(runs)
     lines = [r["line"] for r in report_document(dataset_profile(runs, "model"), stats, "iris-data").collect()]
-    assert lines[0] == "# Benchmark Report: Iris-Data"
+    assert lines[0] == "# ML Benchmark Report: Iris-Data"
     heads = [line for line in lines if line.startswith("## ")]
     assert heads == [
         "## Dataset Information", "## Neural Networks", "## Other", "## Support Vector Machines", "## Performance Champions",
     ]
     assert "- **Size**: small (4 samples)" in lines
-    assert "- **Fastest Training**: Mystery (two) - 0.500000" in lines
-    assert "- **Most Efficient**: Neural Network (two) - 1.234000" in lines
+    assert "- **🏃 Fastest Training**: Mystery (two) - 0.500000s" in lines
+    assert "- **💾 Most Memory Efficient**: Neural Network (two) - 1.23 MB" in lines
     at = lines.index("## Other")
     assert lines[at + 1].startswith("| Library | Algorithm |") and lines[at + 2].startswith("|---") and "Mystery" in lines[at + 3]
+
+
+def test_no_line_for_a_metric_without_values(frame):
+    runs = frame([(*r[:5], None) for r in RUNS], schemas.RESULT)
+    _, stats = analyse(runs)
+    lines = [r["line"] for r in report_document(dataset_profile(runs, "model"), stats, "x", F.lit("2025-07-27 19:18:13").cast("timestamp")).collect()]
+    assert None not in lines and not any("Memory Efficient" in line for line in lines)
+    assert "- **Timestamp**: 2025-07-27 19:18:13" in lines
+
+
+def test_more_names_are_an_option(frame):
+    runs = frame([("one", "DecisionTree", 1.0, 1.0, 1.0, 1.0)], schemas.RESULT)
+    assert standardise(runs).first()["algorithm"] == "DecisionTree"
+    assert standardise(runs, {"DecisionTree": "Decision Tree"}).first()["category"] == "Tree-Based Models"
