@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline
@@ -13,6 +13,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.sql import Column, functions as F
 
 from .kernel import RandomFourierFeatures
 from .svm import LinearMachine
@@ -102,6 +103,28 @@ def mlp(
     )
 
 
+def mlp_forward(inputs: Sequence[Column], layers: Sequence[tuple], activation: str = "relu") -> list[Column]:
+    """Class probabilities of a perceptron with given ``(weights, biases)`` per layer, as generated code.
+
+    ``weights[i][j]`` leads from input i to unit j; hidden units are ``relu`` or ``sigmoid``, the last layer softmax.
+    """
+    values = list(inputs)
+    for depth, (weights, biases) in enumerate(layers):
+        sums = []
+        for j, bias in enumerate(biases):
+            total = F.lit(float(bias))
+            for i, value in enumerate(values):
+                total = total + F.lit(float(weights[i][j])) * value
+            sums.append(total)
+        if depth + 1 == len(layers):
+            most = F.greatest(*sums) if len(sums) > 1 else sums[0]
+            shifted = [F.exp(s - most) for s in sums]
+            whole = sum(shifted[1:], shifted[0])
+            return [s / whole for s in shifted]
+        values = [F.greatest(s, F.lit(0.0)) if activation == "relu" else 1.0 / (1.0 + F.exp(-s)) for s in sums]
+    return values
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     """A named way to train: which features it sees and how its estimator is built."""

@@ -9,6 +9,7 @@ gradient method over Spark jobs takes hundreds.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -68,14 +69,16 @@ class LinearMachine(Estimator):
     def _targets(self) -> list[float]:
         return [1.0] if self.classes == 2 else [float(c) for c in range(self.classes)]
 
-    def _scan(self, rows: DataFrame, weights: np.ndarray, partitions: int) -> list[_Pass]:
-        positive, width = self._targets(), weights.shape[1]
+    def _scan(self, rows: DataFrame, positive: list[float], weights: np.ndarray, partitions: int) -> list[_Pass]:
+        """One pass for the machines that still move; of the symmetric moments one half is sent."""
+        width = weights.shape[1]
+        half = np.triu_indices(width)
 
         def block(batch):
             x = rows_as_matrix(batch.column("x"))
             x = np.hstack([x, np.ones((len(x), 1))])
             label = batch.column("y").to_numpy(zero_copy_only=False)
-            out = np.empty((len(positive), 1 + width + width * width))
+            out = np.empty((len(positive), 1 + width + len(half[0])))
             for i, cls in enumerate(positive):
                 y = np.where(label == cls, 1.0, -1.0)
                 slack = 1.0 - y * (x @ weights[i])
@@ -83,11 +86,15 @@ class LinearMachine(Estimator):
                 active = x[inside]
                 out[i, 0] = np.square(slack[inside]).sum()
                 out[i, 1 : 1 + width] = active.T @ y[inside]
-                out[i, 1 + width :] = (active.T @ active).ravel()
+                out[i, 1 + width :] = (active.T @ active)[half]
             return out
 
-        sums = partition_sums(rows, block, partitions).reshape(len(positive), -1)
-        return [_Pass(s[0], s[1 : 1 + width], s[1 + width :].reshape(width, width)) for s in sums]
+        found = []
+        for s in partition_sums(rows, block, partitions).reshape(len(positive), -1):
+            gram = np.zeros((width, width))
+            gram[half] = s[1 + width :]
+            found.append(_Pass(s[0], s[1 : 1 + width], gram + np.triu(gram, 1).T))
+        return found
 
     def _newton(self, rows: DataFrame, width: int, partitions: int) -> np.ndarray:
         count, c = len(self._targets()), self.cost
@@ -100,9 +107,9 @@ class LinearMachine(Estimator):
         first = np.ones(count)
         for turn in range(self.max_iter):
             trial = weights + step[:, None] * moved
-            for i, seen in enumerate(self._scan(rows, trial, partitions)):
-                if not open_[i]:
-                    continue
+            live = np.flatnonzero(open_)
+            positive = [self._targets()[i] for i in live]
+            for i, seen in zip(live, self._scan(rows, positive, trial[live], partitions)):
                 found = 0.5 * trial[i] @ trial[i] + c * seen.loss
                 if found > value[i] and step[i] > 1e-6:
                     step[i] *= 0.5
@@ -116,7 +123,8 @@ class LinearMachine(Estimator):
                     continue
                 moved[i] = -np.linalg.solve(np.eye(width) + 2.0 * c * seen.gram, slope)
             if not open_.any():
-                break
+                return weights
+        warnings.warn(f"{int(open_.sum())} of {count} machines are not at their minimum after {self.max_iter} passes", stacklevel=3)
         return weights
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..models.classify import REGISTRY, ModelSpec
 from ..operators.features import Scaler, drop_warmup, fit_scaler
-from ..operators.metrics import confusion
 from ..operators.split import random_split
 from ..operators.stats import sample_stats
 
@@ -98,15 +97,13 @@ def fit_spec(data: HoldOut, spec: ModelSpec, seed: int = 42):
 
 
 def quality(predicted: DataFrame) -> tuple[int, float, float]:
-    """Correct rows, accuracy and balanced accuracy from the k x k confusion counts."""
-    cells = confusion(predicted, "label", "prediction").collect()
-    total = sum(c["n"] for c in cells)
-    right = sum(c["n"] for c in cells if c["label"] == c["prediction"])
-    recall = []
-    for label in {c["label"] for c in cells}:
-        mine = [c for c in cells if c["label"] == label]
-        recall.append(sum(c["n"] for c in mine if c["prediction"] == label) / sum(c["n"] for c in mine))
-    return right, right / total, sum(recall) / len(recall)
+    """Correct rows, accuracy and balanced accuracy; one row per class is added up in Spark."""
+    hit = (F.col("label") == F.col("prediction")).cast("int")
+    per_class = predicted.groupBy("label").agg(F.sum(hit).alias("right"), F.count(F.lit(1)).alias("n"))
+    right, total, recall = per_class.agg(F.sum("right"), F.sum("n"), F.avg(F.col("right") / F.col("n"))).first()
+    if not total:
+        raise ValueError("there is no row to judge")
+    return int(right), right / total, float(recall)
 
 
 def score_spec(data: HoldOut, spec: ModelSpec, seed: int = 42) -> tuple:
