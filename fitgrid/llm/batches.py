@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SLICE_BYTES = 2 << 20
 
@@ -44,7 +44,9 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
-def add_columns(df: DataFrame, column: str, kernel: Callable[[list], list[pa.Array]], added: T.StructType) -> DataFrame:
+def add_columns(
+    df: DataFrame, column: str, kernel: Callable[[list], list[pa.Array]], added: T.StructType, limit: int = SLICE_BYTES
+) -> DataFrame:
     """Add the columns that ``kernel`` computes from the values of ``column``.
 
     ``kernel`` gets a bounded list of values (nulls included) and returns one Arrow
@@ -56,8 +58,19 @@ def add_columns(df: DataFrame, column: str, kernel: Callable[[list], list[pa.Arr
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 found = kernel(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays(part.columns + found, names=keep + added.names)
 
     return df.mapInArrow(run, T.StructType(df.schema.fields + added.fields))
+
+
+def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter by columns that were dear to compute.
+
+    A plain filter is moved below the projections that made its columns, which are then
+    computed once for the filter and once more for the result. A task's number is no fixed value
+    to the optimiser, so a condition on it stays where it is.
+    """
+    placed = df.withColumn("_task", F.spark_partition_id())
+    return placed.filter(condition & (F.col("_task") >= 0)).select(*df.columns)

@@ -31,7 +31,9 @@ CALIBRATION_SHARE = 0.2
 LOST_SHARE = 0.001
 MOST_CONFIDENCE = 0.6
 UNKNOWN = "und"
+WIDE = np.dtype("<u4")
 SPAN = 1 << 19
+SLICE = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: the golden ratio's 64 bits
 
 
@@ -154,27 +156,48 @@ def fit(docs: DataFrame, key: str = "doc_id", column: str = "text", label: str =
                 found, _ = subwords([text], letters, buckets)
                 if len(found):
                     number, times = np.unique(found, return_counts=True)
-                    share = (times / len(found)).astype(np.float32)
                     yield pa.RecordBatch.from_pydict(
-                        {"place": [place], "lang": [lang], "buckets": pa.array([number.astype(np.int32)], pa.list_(pa.int32())), "shares": pa.array([share], pa.list_(pa.float32()))}
+                        {"place": [place], "lang": [lang], "buckets": [number.astype(_bucket_type(buckets)).tobytes()], "times": [_narrow(times).tobytes()]}
                     )
 
     chosen = sample(docs, key, column, label, rows)
     chosen = chosen.select("_place", F.col(column).alias("text"), F.col(label).cast("string").alias("lang")) if "_place" in chosen.columns else None
     if chosen is None:
         return None
-    schema = "place bigint, lang string, buckets array<int>, shares array<float>"
+    schema = "place bigint, lang string, buckets binary, times binary"
     counted = chosen.mapInArrow(count, schema).toArrow()
     if not counted.num_rows:
         return None
-    return train(counted, buckets)
+    model = train(counted, buckets)
+    del counted
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def _bucket_type(buckets: int) -> np.dtype:
+    return np.dtype("<u2") if buckets <= 1 << 16 else WIDE
+
+
+def _narrow(times: np.ndarray) -> np.ndarray:
+    """Counts as bytes, or as 32-bit numbers where one is larger."""
+    return times.astype(np.uint8 if times.max(initial=0) < 256 else WIDE)
+
+
+def _widen(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint8 if len(data) == size else WIDE)
 
 
 def train(counted: pa.Table, buckets: int) -> LanguageModel:
     order = np.lexsort((np.array(counted["lang"].to_pylist()), counted["place"].to_numpy()))
     lang = np.array(counted["lang"].to_pylist())[order]
-    number = [np.asarray(counted["buckets"][i].values) for i in order]
-    share = [np.asarray(counted["shares"][i].values) for i in order]
+    # the sample stays as packed bytes; a text's numbers are unpacked when its turn comes
+    packed = [(counted["buckets"][i].as_buffer(), counted["times"][i].as_buffer()) for i in order]
+
+    def unpack(i: int) -> tuple[np.ndarray, np.ndarray]:
+        number = np.frombuffer(packed[i][0], dtype=_bucket_type(buckets))
+        times = _widen(packed[i][1], len(number)).astype(np.float32)
+        return number, times / times.sum()
+
     names, target = np.unique(lang, return_inverse=True)
     rng = np.random.default_rng(SEED)
     held = rng.random(len(target)) < CALIBRATION_SHARE
@@ -189,22 +212,23 @@ def train(counted: pa.Table, buckets: int) -> LanguageModel:
         for i in rng.permutation(learn):
             rate = RATE * (1.0 - step / steps)
             step += 1
-            rows = embed[number[i]]
-            hidden = share[i] @ rows
+            number, share = unpack(i)
+            rows = embed[number]
+            hidden = share @ rows
             error = softmax(hidden @ weight + bias)
             error[target[i]] -= 1.0
             back = weight @ error
             weight -= rate * np.outer(hidden, error)
             bias -= 0.01 * rate * error
             # the shares are small where a text is long: scaled, so each text moves its buckets alike
-            embed[number[i]] = rows - rate * np.outer(share[i] / np.sqrt(np.square(share[i]).sum()), back)
+            embed[number] = rows - rate * np.outer(share / np.sqrt(np.square(share).sum()), back)
     seen = np.zeros(buckets, dtype=bool)
     for i in learn:
-        seen[number[i]] = True
+        seen[unpack(i)[0]] = True
     embed[~seen] = 0.0
     table = (embed @ weight).astype(np.float32)
     check = np.flatnonzero(held) if held.any() else learn
-    logits = np.array([share[i] @ table[number[i]] for i in check]) + bias
+    logits = np.array([share @ table[number] for number, share in map(unpack, check)]) + bias
     temperature, limit = calibrate(logits, target[check])
     return LanguageModel(tuple(str(n) for n in names), table, bias, temperature, limit)
 
@@ -247,4 +271,4 @@ def identify(docs: DataFrame, model: LanguageModel | None, column: str = "text")
         names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist())]
         return [pa.array(names), pa.array(score), pa.array(~some | (score < m.limit))]
 
-    return add_columns(docs, column, kernel, added)
+    return add_columns(docs, column, kernel, added, SLICE)

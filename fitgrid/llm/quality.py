@@ -124,7 +124,7 @@ def weights(docs: DataFrame, trusted: DataFrame, key: str, words: int = WORD_BUC
     full = full.join(F.broadcast(totals), "shape")  # two rows
     share = (F.col("raw") + 1.0) / (F.col("all_raw") + size)
     target = (F.col("target") + size * share) / (F.col("all_target") + size)
-    return full.select("bucket", F.round(F.log(target / share), 4).alias("weight"))
+    return full.select("bucket", F.round(F.log(target / share), 3).alias("weight"))
 
 
 def trusted_keys(labels: DataFrame, key: str = "doc_id", good: Column | str = "quality = 1", most: int = TRUSTED_DOCUMENTS) -> DataFrame:
@@ -155,12 +155,13 @@ def assess(
     docs = without(docs, OWN)
     slim = hashed(docs.select(F.col(key), F.col(column)), column)
     model = weights(slim, trusted, key, word_buckets, shape_buckets).orderBy("bucket").collect()  # one row per bucket
-    # constant folding turns the text into one array that all rows share
-    table = F.split(F.lit(",".join(f"{r['weight']:g}" for r in model)), ",").cast("array<double>")
+    # constant folding turns each text into one array that all rows share
+    each = [f"{r['weight']:g}" for r in model]
+    of_word, of_shape = (F.split(F.lit(",".join(part)), ",").cast("array<double>") for part in (each[:word_buckets], each[word_buckets:]))
 
     def add(total: Column, x: Column) -> Column:
-        pair = F.get(table, _shape_bucket(x["h"], x["s"], x["g"], x["t"], word_buckets, shape_buckets))
-        return total + F.get(table, _word_bucket(x["h"], word_buckets)) + F.coalesce(pair, F.lit(0.0))
+        pair = F.get(of_shape, _shape_bucket(x["h"], x["s"], x["g"], x["t"], 0, shape_buckets))
+        return total + F.get(of_word, _word_bucket(x["h"], word_buckets)) + F.coalesce(pair, F.lit(0.0))
 
     scored = base_counts(hashed(docs, column), column)
     total = F.aggregate(grams(), F.lit(0.0), add)
