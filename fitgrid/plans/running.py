@@ -19,6 +19,7 @@ from .selection import ordinal
 ROWS_PER_RANGE = 500_000
 MAX_RANGES = 10_000
 SAMPLED_PER_RANGE = 20
+FINER = 100
 
 
 def cut_points(df: DataFrame, col: Column, ranges: int) -> list[float]:
@@ -52,11 +53,34 @@ def with_text_range(df: DataFrame, order: Column, ranges: int, rows: int, out: s
     return df.withColumn(out, below)
 
 
+def with_part(ranged: DataFrame, order: Column, rows_per_range: int, text: bool) -> DataFrame:
+    """Cut ranges that hold too many rows once more, into up to ``FINER`` parts each.
+
+    There are at most ``MAX_RANGES`` ranges, so their cut points fit a broadcast. Equal order
+    values stay together, and ranges of text stay as they are.
+    """
+    whole = ranged.withColumn("_part", F.lit(0))
+    if text:
+        return whole
+    large = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * rows_per_range).select("_range")
+    large = [r["_range"] for r in large.collect()]
+    if not large:
+        return whole
+    some = ranged.sparkSession.createDataFrame([(r,) for r in large], "_range int")
+    probs = [i / FINER for i in range(1, FINER)]
+    inside = ranged.join(F.broadcast(some), "_range")
+    cuts = inside.groupBy("_range").agg(F.percentile_approx(order.cast("double"), probs, 10_000).alias("_cuts"))
+    joined = ranged.join(F.broadcast(cuts), "_range", "left")
+    part = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < order.cast("double")).cast("int"))
+    return joined.withColumn("_part", F.coalesce(part, F.lit(0))).drop("_cuts")
+
+
 def running_totals(
     df: DataFrame,
     order_by: Sequence[str],
     measures: Mapping[str, Column],
     rows_per_range: int = ROWS_PER_RANGE,
+    max_ranges: int = MAX_RANGES,
 ) -> DataFrame:
     """Add one inclusive running total per measure, in the order given.
 
@@ -65,37 +89,39 @@ def running_totals(
     """
     names = list(measures)
     rows = df.count()
-    ranges = min(MAX_RANGES, max(1, math.ceil(rows / rows_per_range)))
+    ranges = min(max_ranges, max(1, math.ceil(rows / rows_per_range)))
     lead = ordinal(df, order_by[0])
-    if ranges > 1 and isinstance(df.schema[order_by[0]].dataType, T.StringType):
-        ranged = with_text_range(df, lead, ranges, rows)
+    text = isinstance(df.schema[order_by[0]].dataType, T.StringType)
+    ranged = with_text_range(df, lead, ranges, rows) if ranges > 1 and text else with_range(df, lead, ranges)
+    if rows > max_ranges * rows_per_range:
+        ranged = with_part(ranged, lead, rows_per_range, text)
     else:
-        ranged = with_range(df, lead, ranges)
+        ranged = ranged.withColumn("_part", F.lit(0))
     window = (
-        Window.partitionBy("_range")
+        Window.partitionBy("_range", "_part")
         .orderBy(*order_by)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inner = ranged.withColumns({n: F.sum(measures[n]).over(window) for n in names})
-    if ranges == 1:
-        return inner.drop("_range")
+    if ranges == 1 and rows <= max_ranges * rows_per_range:
+        return inner.drop("_range", "_part")
 
     totals = (
-        ranged.groupBy("_range").agg(*[F.sum(measures[n]).alias(n) for n in names]).orderBy("_range").collect()
+        ranged.groupBy("_range", "_part").agg(*[F.sum(measures[n]).alias(n) for n in names]).orderBy("_range", "_part").collect()
     )
     carried = {n: 0 for n in names}
     offsets = []
     for row in totals:
-        offsets.append((row["_range"], *[carried[n] for n in names]))
+        offsets.append((row["_range"], row["_part"], *[carried[n] for n in names]))
         for n in names:
             carried[n] += row[n] or 0
     kinds = {f.name: f.dataType.simpleString() for f in inner.schema}
-    schema = ", ".join(["_range int", *[f"_before_{n} {kinds[n]}" for n in names]])
+    schema = ", ".join(["_range int", "_part int", *[f"_before_{n} {kinds[n]}" for n in names]])
     small = df.sparkSession.createDataFrame(offsets, schema)
-    joined = inner.join(F.broadcast(small), "_range")
+    joined = inner.join(F.broadcast(small), ["_range", "_part"])
     return joined.withColumns(
         {n: F.col(n) + F.col(f"_before_{n}") for n in names}
-    ).drop("_range", *[f"_before_{n}" for n in names])
+    ).drop("_range", "_part", *[f"_before_{n}" for n in names])
 
 
 def global_rank(

@@ -89,6 +89,14 @@ def test_null_order_values_are_refused(spark):
         random_split(df, "v")
 
 
+@pytest.mark.parametrize("max_ranges", [1, 3])
+def test_large_ranges_are_cut_again(spark, max_ranges):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit(2).alias("w")).repartition(6)
+    got = running_totals(df, ["v"], {"t": F.col("w")}, rows_per_range=20, max_ranges=max_ranges).collect()
+    assert all(r["t"] == 2 * (r["v"] + 1) for r in got) and len(got) == 1000
+    assert set(got[0].asDict()) == {"v", "w", "t"}
+
+
 def test_global_rank_over_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(6)
     got = global_rank(df, ["v"], rows_per_range=90).collect()
