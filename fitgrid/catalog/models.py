@@ -10,6 +10,9 @@ from ..models.gini import gini_root_split
 from ..models.kernel import rbf_features, rbf_kernel, rbf_weights
 from ..models.kmeans import HALF, PRIME, draw_factors, fit_kmeans_best_of, lloyd
 from ..models.linear import fit_ols, ols_1d
+from ..operators.metrics import r2
+from ..operators.split import random_split
+from ..operators.stats import sample_stats
 from ..plans.evaluation import MATRIX, fit_spec, hold_out, model_matrix, quality, repeated_runs
 from .base import query, table
 from .documents import LANGUAGE_FEATURES, QUALITY_FEATURES, language_table, quality_table
@@ -265,3 +268,31 @@ def p02(spark, sf):
     """Tree accuracy over five seeds after one warmup run."""
     spec = REGISTRY["DecisionTreeClassifier"]
     return repeated_runs(quality_table(spark, sf), "doc_id", QUALITY_FEATURES, "label", spec, range(6), warmup=1)
+
+
+def _runs_sql(seeds: tuple[int, ...]) -> str:
+    ctes, scores = [], []
+    for s in seeds:
+        place = f"row_number() OVER (ORDER BY substr(md5('{s}:' || o_orderkey), 1, 15), o_orderkey) <= ceil(0.2::DOUBLE * count(*) OVER ())"
+        ctes.append(f"d{s} AS (SELECT o_totalprice AS y, o_custkey::DOUBLE AS x, {place} AS test FROM orders)")
+        ctes.append(f"f{s} AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d{s} WHERE NOT test)")
+        scores.append(f"SELECT 1 - sum((y - a - b * x) ** 2) / (var_pop(y) * count(*)) AS r2 FROM d{s}, f{s} WHERE test")
+    return (
+        "WITH " + ",\n".join(ctes) + f",\nr AS ({' UNION ALL '.join(scores)})\n"
+        "SELECT round(avg(r2), 9) + 0.0::DOUBLE AS mean, round(stddev_samp(r2), 9) AS std_dev, round(min(r2), 9) + 0.0::DOUBLE AS \"min\", "
+        "round(max(r2), 9) + 0.0::DOUBLE AS \"max\", count(*) AS count FROM r"
+    )
+
+
+@query("p03_least_squares_runs", _runs_sql((1, 2, 3)))
+def p03(spark, sf):
+    """Quality of least squares over three seeds after one warmup run, each on its own split."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    scores = []
+    for seed in range(4):
+        split = random_split(orders, "o_orderkey", 0.2, seed)
+        model = fit_ols(split.filter("part = 'train'"), ["o_custkey"], "o_totalprice")
+        scores.append((seed, r2(model.transform(split.filter("part = 'test'")), "o_totalprice", "prediction").first()[0]))
+    runs = spark.createDataFrame(scores, "seed int, r2 double").filter("seed >= 1")
+    found = sample_stats(runs, [], "r2")
+    return found.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("mean", "std_dev", "min", "max")})
