@@ -57,14 +57,17 @@ def repeated_runs(docs: DataFrame, key: str, lines: str, body: str, min_words: i
     both = [_windows(rows, "start", (0, min_words - 1)), _windows(rows, "end", (1 - min_words, 0))]
     windows = None
     for side, found in enumerate(both):
-        found = found.filter(F.col("words") >= min_words).withColumn("side", F.lit(side))
+        found = found.filter(F.col("words") >= min_words).withColumn("side", F.lit(side).cast("tinyint"))
         windows = found if windows is None else windows.unionByName(found)
-    windows = materialise(windows, "windows")  # read by four of the steps below
-    prints = windows.groupBy("side", "mark").agg(F.min("where").alias("first"), F.max("where").alias("last"))
-    shared = prints.filter("first <> last").select("side", "mark")
-    candidates = windows.join(shared, ["side", "mark"], "left_semi")
-    firsts = candidates.groupBy("side", "h", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = candidates.join(firsts.drop("n"), ["side", "h", "g"]).filter(F.col("place") > F.col("first"))
+    windows = materialise(windows.drop("words"), "windows")  # read by four of the steps below
+    where = F.xxhash64("_id", "_body", "chosen")
+    prints = windows.groupBy("side", "mark").agg(F.min(where).alias("one"), F.max(where).alias("other"))
+    shared = prints.filter("one <> other").select("side", "mark")
+    candidates = windows.join(shared, ["side", "mark"], "left_semi").drop("mark", "chosen")
+    # null keys come last
+    place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_body").alias("body"), F.col("a").alias("pos"))
+    firsts = candidates.groupBy("side", "h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = candidates.join(firsts.drop("n"), ["side", "h", "g"]).filter(place > F.col("first"))
     later = later.select("_id", "_body", "a", "b").distinct()
     # merge overlapping and touching windows of a document into runs
     before = Window.partitionBy("_id", "_body").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,25 +80,22 @@ def repeated_runs(docs: DataFrame, key: str, lines: str, body: str, min_words: i
 
 
 def _windows(rows: DataFrame, offset: str, reach: tuple[int, int]) -> DataFrame:
-    """The window of each line: its lines, words, fingerprint and content."""
+    """The window of each line: its lines, words, fingerprint with its line, and content."""
     frame = Window.partitionBy("_id", "_body").orderBy(offset).rangeBetween(*reach)
-    mark = F.min(F.struct("h", "g", (-F.col("pos")).alias("pos"))).over(frame)  # the last of equal minima
     found = rows.select(
-        "_id", "_body", "pos",
+        "_id", "_body",
         F.min("pos").over(frame).alias("a"),
         F.max("pos").over(frame).alias("b"),
         F.sum("n").over(frame).alias("words"),
-        mark.alias("least"),
+        F.min(F.struct("h", "g", (-F.col("pos")).alias("pos"))).over(frame).alias("least"),  # the last of equal minima
         F.collect_list("h").over(frame).alias("hs"),
         F.collect_list("g").over(frame).alias("gs"),
     )
-    # null keys come last
-    document = [F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_body").alias("body")]
+    # the fingerprint only picks candidates, so half of its hash will do; content is compared by both
     return found.select(
         "_id", "_body", "a", "b", "words",
-        F.struct("least.h", "least.g").alias("mark"),
-        F.struct(*document, (-F.col("least.pos")).alias("pos")).alias("where"),
-        F.struct(*document, F.col("a").alias("pos")).alias("place"),
+        F.col("least.h").alias("mark"),
+        (-F.col("least.pos")).alias("chosen"),
         F.xxhash64("hs").alias("h"),
         F.xxhash64(F.lit(1), "gs").alias("g"),
     )
