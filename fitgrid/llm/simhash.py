@@ -12,6 +12,7 @@ split by population count, and further by a hash, so no task holds it whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -197,26 +198,33 @@ def near_duplicates(
     return marked.join(named, "_fp").select(key, F.col("_fp").alias("fingerprint"), "group", "component_id")
 
 
+def keep_first(docs: DataFrame, find: Callable[[DataFrame, str], DataFrame], key: str, column: str) -> DataFrame:
+    """The row of ``docs`` with the least key in each group; null keys last, then by the text's hash.
+
+    ``find`` takes rows and the name of their key and gives ``component_id``, the least key of
+    each row's group. A key alone may stand for several texts, so a row goes by key and text.
+    """
+    place = F.struct(
+        F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(column).alias("t"), F.xxhash64(F.lit(1), column).alias("u")
+    )
+    rows = docs.withColumn("_row", place)
+    found = find(rows, "_row")
+    first = found.filter(F.col("_row") == F.col("component_id")).groupBy("_row").agg(F.count(F.lit(1)).alias("_rows"))
+    first = materialise(first.select(*[F.col(f"_row.{c}").alias(f"_{c}") for c in ("none", "key", "t", "u")], "_rows"), "kept")
+
+    def chosen(part: DataFrame) -> DataFrame:
+        same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row.t") == F.col("_t")) & (F.col("_row.u") == F.col("_u"))
+        return rows.join(part, same, "left_semi")
+
+    kept = chosen(first.filter("_rows = 1")).select(*docs.columns)
+    if first.filter("_rows > 1").isEmpty():
+        return kept
+    whole = F.any_value(F.struct(*docs.columns)).alias("_whole")
+    return kept.unionByName(chosen(first.filter("_rows > 1")).groupBy("_row").agg(whole).select("_whole.*"))
+
+
 def one_per_group(
     docs: DataFrame, key: str = "doc_id", column: str = "text", radius: int = RADIUS, width: int = SHINGLE
 ) -> DataFrame:
-    """The rows of ``docs`` that are left when one document of each group stays.
-
-    It is the one with the least key. Rows that repeat its key count as copies too and
-    the least text stays. Where no row of a group has a key, the least text stays.
-    """
-    found = near_duplicates(docs, key, column, radius, width)
-    rows = found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
-    rows = materialise(rows, "kept")
-    whole = F.struct(*docs.columns)
-    kept = docs.join(rows.filter("_rows = 1"), F.col(key) == F.col("_key"), "left_semi")
-    if not rows.filter("_rows > 1").isEmpty():
-        again = docs.join(rows.filter("_rows > 1"), F.col(key) == F.col("_key"), "left_semi")
-        kept = kept.unionByName(again.groupBy(key).agg(F.min_by(whole, column).alias("_row")).select("_row.*"))
-    alone = found.filter("component_id is null").select("fingerprint", "group").distinct()
-    if not alone.isEmpty():
-        bare = fingerprints(docs.filter(F.col(key).isNull()).select(whole.alias("_row"), F.col(column).alias("_text")), "_text", "_fp", width)
-        met = bare.join(alone, F.col("_fp") == F.col("fingerprint"))
-        least = F.min_by("_row", F.coalesce("_text", F.lit("")))
-        kept = kept.unionByName(met.groupBy("group").agg(least.alias("_row")).select("_row.*"))
-    return kept
+    """The rows of ``docs`` that are left when one document of each group stays, by ``keep_first``."""
+    return keep_first(docs, lambda rows, row: near_duplicates(rows, row, column, radius, width), key, column)

@@ -124,3 +124,11 @@ def test_query(spark, sf):
     want = slow_components(values, [d["doc_id"] for d in docs])
     rows = QUERIES["op10_simhash"](spark, sf).collect()
     assert sorted(map(tuple, rows)) == sorted((d["doc_id"], f"{values[i]:016x}", want[i]) for i, d in enumerate(docs))
+
+
+def test_a_repeated_key_with_several_texts(make_docs):
+    docs = make_docs(["alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black"])
+    docs = docs.unionByName(docs.filter("doc_id = 1").selectExpr("0L as doc_id", *docs.columns[1:]))
+    docs = docs.unionByName(docs.filter("doc_id = 2").selectExpr("0L as doc_id", *docs.columns[1:]))
+    kept = simhash.one_per_group(docs).collect()
+    assert sorted(k["text"][:3] for k in kept) == ["alp", "one", "red"] and {k["doc_id"] for k in kept} == {0}
