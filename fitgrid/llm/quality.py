@@ -24,7 +24,7 @@ MAX_REPEATED = 30
 
 WORD_BUCKETS = 1 << 16
 SHAPE_BUCKETS = 1 << 12
-TRUSTED_DOCUMENTS = 100_000
+BROADCAST_KEYS = 100_000
 THRESHOLD = -0.8
 END = 1 << 30  # as a length: to the end
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -105,11 +105,13 @@ def _shape_bucket(h: Column, s: Column, g: Column, t: Column, words: int, shapes
 def weights(docs: DataFrame, trusted: DataFrame, key: str, words: int = WORD_BUCKETS, shapes: int = SHAPE_BUCKETS) -> DataFrame:
     """``bucket, weight``: the log-likelihood ratio of every bucket.
 
-    ``docs`` has ``_hashes`` and ``_shapes``; ``trusted`` is a bounded table of distinct keys. Target counts
-    are smoothed towards the raw shares with the weight of one count per bucket, so the
+    ``docs`` has ``_hashes`` and ``_shapes``; ``trusted`` is a table of distinct keys, broadcast up to
+    ``BROADCAST_KEYS`` of them and else met by a shuffle of the hashed rows. Target counts are smoothed towards the raw shares with the weight of one count per bucket, so the
     ratio of n-grams without evidence is near zero.
     """
-    known = F.broadcast(trusted.select(F.col(key), F.lit(1).alias("_trusted")))
+    known = trusted.select(F.col(key), F.lit(1).alias("_trusted"))
+    if trusted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        known = F.broadcast(known)
     marked = docs.select(key, "_hashes", "_shapes").join(known, key, "left")
     # outer, since the inner form would first evaluate the whole array to filter out empty ones
     rows = marked.select(F.coalesce("_trusted", F.lit(0)).alias("trusted"), F.inline_outer(grams()).alias("h", "s", "g", "t"))
@@ -127,11 +129,10 @@ def weights(docs: DataFrame, trusted: DataFrame, key: str, words: int = WORD_BUC
     return full.select("bucket", F.round(F.log(target / share), 3).alias("weight"))
 
 
-def trusted_keys(labels: DataFrame, key: str = "doc_id", good: Column | str = "quality = 1", most: int = TRUSTED_DOCUMENTS) -> DataFrame:
-    """Distinct keys of about ``most`` labelled good documents, chosen by their hash; all if fewer."""
+def trusted_keys(labels: DataFrame, key: str = "doc_id", good: Column | str = "quality = 1", most: int | None = None) -> DataFrame:
+    """Distinct keys of all labelled good documents; of about ``most``, chosen by their hash, where that is given."""
     ids = labels.filter(good).filter(F.col(key).isNotNull()).select(key).distinct()
-    number = ids.count()
-    if number <= most:
+    if most is None or (number := ids.count()) <= most:
         return ids
     return ids.filter(F.pmod(F.xxhash64(F.lit("trusted"), key), F.lit(1 << 30)) < int((1 << 30) * (most / number)))
 

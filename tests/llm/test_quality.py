@@ -113,3 +113,13 @@ def test_query(spark, sf):
     # clean documents of some length stay, bad ones go
     assert all(r["kept"] or r["base_failed"] for r in rows if labels.get(r["doc_id"]) == 1)
     assert not any(r["kept"] for r in rows if labels.get(r["doc_id"]) == 0)
+
+
+def test_all_trusted_labels_count(spark, make_docs, monkeypatch):
+    labels = spark.range(200_002).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    assert quality.trusted_keys(labels).count() == 100_001
+    docs = make_docs([f"quite plain words number {i} and some more of them" for i in range(6)])
+    trusted = spark.createDataFrame([(i,) for i in range(3)], "doc_id bigint")
+    want = sorted(quality.assess(docs, trusted).select("doc_id", "score").collect())
+    monkeypatch.setattr(quality, "BROADCAST_KEYS", 2)
+    assert sorted(quality.assess(docs, trusted).select("doc_id", "score").collect()) == want
