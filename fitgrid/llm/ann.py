@@ -298,11 +298,14 @@ def nearest(
     length. Rows that agree in id and vector count once. Ids are ``bigint``.
     """
     rows = usable(vectors, key, column)
-    graphs, shards = build(rows, k + 1, shard_rows, links)
     asked = materialise(usable(queries, key, column).distinct(), "queries")
-    found = search(graphs, shards, asked, k + 1, links, breadth)
+    # an id with several vectors takes as many places among the nearest of its own queries
+    same = rows.join(asked.select("_id").distinct(), "_id", "left_semi").groupBy("_id").agg(F.count_distinct("_vector").alias("n"))
+    places = k + (same.agg(F.max("n")).first()[0] or 1)
+    graphs, shards = build(rows, places, shard_rows, links)
+    found = search(graphs, shards, asked, places, links, breadth)
     least = Window.partitionBy("_vector").orderBy("_far", "_id")
-    merged = found.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1)
+    merged = found.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= places)
     listed = merged.groupBy("_vector").agg(F.sort_array(F.collect_list(F.struct("_far", "_id"))).alias("_best"))
     own = F.filter("_best", lambda b: b["_id"] != F.col("query_id"))
     joined = asked.select(F.col("_id").alias("query_id"), "_vector").join(listed, "_vector")

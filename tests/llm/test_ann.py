@@ -93,3 +93,10 @@ def test_query(spark, sf):
         hits += len({i for _, i in want} & {r["vec_id"] for r in rows if r["query_id"] == q})
         total += len(want)
     assert len(rows) == total and hits / total >= 0.97
+
+
+def test_an_id_with_several_vectors_leaves_all_places(spark):
+    rows = [(0, [1.0, i / 1000]) for i in range(6)] + [(i, [1.0, i / 10]) for i in range(1, 15)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = ann.nearest(vectors, vectors.filter("vec_id = 0 and embedding[1] = 0"))
+    assert [r["vec_id"] for r in found.orderBy("rank").collect()] == list(range(1, 11))
