@@ -40,22 +40,32 @@ class Vocabulary:
 
     Where the file's merges run in the order of their ids, its vocabulary is a rank
     file and the faster reader of those gives the same ids; else the file's own library.
+    With ``special`` the text of an added token is that token, as the library has it by
+    default; without, it is ordinary text.
     """
 
     # Fixed value: the split of byte-level tokenizers, which the file names by "use_regex".
     SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ranked = None
-        if self._is_ranked(spec):
+        added = spec.get("added_tokens") or []
+        if self._is_ranked(spec) and not (special and self._is_involved(added)):
             letters = self._letters()
             ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
-            self.ranked = tiktoken.Encoding("ranked", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.ranked = tiktoken.Encoding("ranked", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added if special})
         else:
             self.own = Tokenizer.from_file(path)
-            self.own.encode_special_tokens = True
+            self.own.encode_special_tokens = not special
+
+    @staticmethod
+    def _is_involved(added: list[dict]) -> bool:
+        """Whether added tokens take blanks with them, need word borders or begin with each other."""
+        texts = [t["content"] for t in added]
+        begins = any(a != b and a.startswith(b) for a in texts for b in texts)
+        return begins or any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
 
     @staticmethod
     def _letters() -> dict[str, int]:
@@ -77,11 +87,13 @@ class Vocabulary:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if self.ranked is not None:
-            return [self.ranked.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            return [self.ranked.encode_to_numpy(t, allowed_special="all", disallowed_special=()) for t in texts]
         return [np.array(e.ids, dtype=np.uint32) for e in self.own.encode_batch(texts, add_special_tokens=False)]
 
 
-def cut(docs: DataFrame, path: str, capacity: int = 1024, column: str = "text", end: int = END) -> DataFrame:
+def cut(
+    docs: DataFrame, path: str, capacity: int = 1024, column: str = "text", end: int = END, special: bool = False
+) -> DataFrame:
     """Pieces of every whole text: ``piece, start, length, ids`` beside the other columns.
 
     A document is its ids and the end id, so an empty or null text is one piece of
@@ -93,7 +105,7 @@ def cut(docs: DataFrame, path: str, capacity: int = 1024, column: str = "text",
     kept = [c for c in docs.columns if c != column]
 
     def run(batches):
-        vocabulary = memo(("vocabulary", path), lambda: Vocabulary(path))
+        vocabulary = memo(("vocabulary", path, special), lambda: Vocabulary(path, special))
         for batch in batches:
             for part in slices(batch, column):
                 texts = pc.fill_null(part.column(column), "").to_pylist()
@@ -260,12 +272,15 @@ def _last_not_above(starts, value):
     return F.aggregate(starts, F.lit(0), lambda n, x: n + F.when(x <= value, 1).otherwise(0))
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, column: str = "text", order: str = "doc_id", digest=None) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, capacity: int = 1024, column: str = "text", order: str = "doc_id", digest=None, special: bool = False
+) -> DataFrame:
     """Pieces of all documents with their places in as few sequences as the lengths allow.
 
     ``digest`` turns the pieces with their ids into what is to be kept of them; by
-    default all columns and the ids stay. The pieces are written to the shared folder,
+    default all columns and the ids stay. With ``special`` the texts of the file's added
+    tokens are those tokens. The pieces are written to the shared folder,
     then placed.
     """
-    pieces = cut(docs, path, capacity, column)
+    pieces = cut(docs, path, capacity, column, special=special)
     return place(materialise(digest(pieces) if digest else pieces, "pieces"), capacity, (order, "piece"))

@@ -70,7 +70,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     def digest(pieces: DataFrame) -> DataFrame:
         return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
-    found = packing.pack(docs, public_tokenizers.path(PLAIN), digest=digest)
+    found = packing.pack(docs, public_tokenizers.path(PLAIN), digest=digest, special=True)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

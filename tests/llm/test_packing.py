@@ -106,3 +106,11 @@ def test_query(spark, sf):
             want.add((key, n, stop - len(part), len(part), zlib.crc32(part.tobytes())))
     assert {tuple(r)[:5] for r in rows} == want and len(rows) == len(want)
     assert check_places(rows) <= -(-sum(r["length"] for r in rows) // 1024) * 1.01 + 2
+
+
+def test_added_tokens_by_the_default_of_the_library(spark, make_docs, tmp_path):
+    texts = ["one<|endoftext|>two", "<|endoftext|>", " a <|endoftext|> <|endoftext|>b  ", "<|endoftext", "plain"]
+    own = Tokenizer.from_file(PLAIN)
+    want = {(i, zlib.crc32(np.array([*own.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes())) for i, t in enumerate(texts)}
+    make_docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r["doc_id"], r["ids_crc32"]) for r in QUERIES["op8_packing"](spark, str(tmp_path)).collect()} == want
