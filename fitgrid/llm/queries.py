@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, langid, line_dedup, packing, quality, sharding, simhash, token_counts, url_filter
+from . import ann, bpe, langid, line_dedup, packing, quality, sharding, simhash, token_counts, topk, url_filter
 from .registry import query, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -161,3 +161,22 @@ SELECT page_id, host, path, found.rule AS rule, found.verdict AS verdict FROM ju
 @query("op9_url_filter", url_sql())
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+TOP_SQL = """
+WITH numbers AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.z, c.z)::BIGINT AS score
+  FROM numbers q JOIN numbers c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.z) = len(c.z)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
+@query("op13_topk", TOP_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return topk.top_products(vectors, vectors.filter("vec_id % 100 = 0"))

@@ -10,7 +10,7 @@ from fitgrid.llm import QUERIES, SQL
 
 def same_as_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     result = con.execute(SQL[name])
@@ -22,12 +22,12 @@ def same_as_sql(spark, sf, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", ["op7_sharding", "op9_url_filter"])
+@pytest.mark.parametrize("name", ["op7_sharding", "op9_url_filter", "op13_topk"])
 def test_equals_sql(spark, sf, name):
     same_as_sql(spark, sf, name)
 
