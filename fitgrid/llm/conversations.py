@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import repair
+from ..plans.joins import lookup_join
+from ..session import materialise
+from . import prefix_trie, repair
 from .registry import query, table
 
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -124,3 +126,74 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("sha256", F.lit(EMPTY_SHA)).alias("repaired_sha256"),
     )
+
+
+MOST_SHARED = 5
+
+
+def heads(conv: Column) -> Column:
+    """How many first turns a conversation takes from the first of its hundred."""
+    return F.pmod(F.crc32(conv.cast("string")), F.lit(MOST_SHARED + 1))
+
+
+def rebuilt(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every conversation with its first turns from another one; ``turns`` as of ``prefix_trie.slim_turns``."""
+    first = turns.filter(F.col("place") <= MOST_SHARED)
+    base = F.col("conv") - F.col("conv") % 100
+    wanted = ids.toDF("conv").select("conv", base.alias("base"), heads(F.col("conv")).alias("h"))
+    from_base = first.withColumnRenamed("conv", "base")
+    taken = wanted.filter("h > 0").join(from_base, "base").filter("place <= h").drop("base", "h")
+    have = first.groupBy(F.col("conv").alias("base")).agg(F.count(F.lit(1)).alias("n"))
+    short = wanted.join(have, "base", "left").select("conv", (F.col("h") - F.coalesce("n", F.lit(0))).alias("missing")).filter("missing > 0")
+    own = turns.filter(F.col("place") > heads(F.col("conv")))
+    own = lookup_join(own, short, "conv").withColumn("place", F.col("place") - F.coalesce("missing", F.lit(0))).drop("missing")
+    return taken.unionByName(own)
+
+
+TRIE_SQL = f"""
+WITH {CRC_TABLE}, ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32_sql("conv_id::VARCHAR")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered), crc
+), rebuilt AS (
+  SELECT i.conv_id, 0 AS part, o.place, o.role, o.text FROM ids i JOIN ordered o ON o.conv_id = i.base AND o.place <= i.h
+  UNION ALL
+  SELECT i.conv_id, 1, o.place, o.role, o.text FROM ids i JOIN ordered o ON o.conv_id = i.conv_id AND o.place > i.h
+), turns AS (
+  SELECT conv_id, length(text) AS size, length(role) || ':' || role || text AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth
+  FROM rebuilt
+), chained AS (
+  SELECT conv_id, depth, size, string_agg(md5(turn), '') OVER (PARTITION BY conv_id ORDER BY depth) AS chain FROM turns
+), paths AS MATERIALIZED (
+  SELECT conv_id, depth, size, md5(chain) AS key, lag(md5(chain), 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM chained
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM ids
+), nodes AS MATERIALIZED (
+  SELECT depth, key, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size FROM paths GROUP BY depth, key
+), children AS (
+  SELECT parent AS key, count(*) AS n FROM nodes GROUP BY parent
+), owned AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.key = n.key
+), sums AS (
+  SELECT p.key, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.size) AS saved_tokens
+  FROM owned o JOIN paths p ON p.conv_id = o.conv_id AND p.depth <= o.depth GROUP BY p.key
+), lengths AS (
+  SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id
+), ends AS (
+  SELECT p.key, string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) AS ids FROM paths p JOIN lengths l ON l.conv_id = p.conv_id AND l.depth = p.depth
+  GROUP BY p.key
+)
+SELECT o.conv_id, o.depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM owned o JOIN sums s ON s.key = o.key LEFT JOIN nodes u ON u.key = o.parent LEFT JOIN ends e ON e.key = o.key
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    turns = materialise(prefix_trie.slim_turns(rows), "turns")
+    ids = rows.select("conv_id").filter("conv_id is not null").distinct()
+    return prefix_trie.trie(rebuilt(turns, ids), ids)
