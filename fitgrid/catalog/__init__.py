@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import QUERIES, SQL
 
-for _name in ("analytics", "features", "splits", "quality", "models", "machines", "io", "text"):
+for _name in ("analytics", "features", "splits", "quality", "models", "machines", "trees", "io", "text"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["QUERIES", "SQL"]

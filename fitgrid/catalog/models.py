@@ -181,7 +181,7 @@ def m06b(spark, sf):
 
 @query("m06c_decision_tree_depth_10")
 def m06c(spark, sf):
-    spec = ModelSpec("Decision Tree", "raw", lambda d, k, seed, x, y: classify.decision_tree(x, y, max_depth=10, seed=seed))
+    spec = ModelSpec("Decision Tree", "raw", lambda d, k, seed, x, y: classify.decision_tree(x, y, max_depth=10, seed=seed, classes=k))
     return one_model(spark, quality_table(spark, sf), QUALITY_FEATURES, spec)
 
 

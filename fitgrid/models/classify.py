@@ -1,24 +1,19 @@
-"""Classifiers on MLlib, with the settings each task asks for."""
+"""Classifiers with the settings each task asks for."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.sql import Column, functions as F
 
 from .kernel import RandomFourierFeatures
 from .svm import LinearMachine
+from .trees import Forest
 
-DEEPEST = 30
 PARALLEL_FITS = 4
 
 
@@ -57,15 +52,10 @@ def rbf_svm(
 
 
 def decision_tree(
-    features: str = "features", label: str = "label", max_depth: int | None = None, seed: int = 42, max_bins: int = 64
+    features: str = "features", label: str = "label", max_depth: int | None = None, seed: int = 42, classes: int = 2
 ) -> Estimator:
-    """Gini tree; ``max_depth=None`` grows to level 30, the deepest that MLlib allows.
-
-    MLlib proposes at most ``max_bins`` thresholds per feature, from a sample of about 10,000 rows.
-    """
-    return DecisionTreeClassifier(
-        featuresCol=features, labelCol=label, impurity="gini", maxDepth=max_depth or DEEPEST, maxBins=max_bins, seed=seed
-    )
+    """Gini tree with exact cuts; ``max_depth=None`` grows until nodes are pure or all alike."""
+    return Forest(features, label, classes, max_depth=max_depth, seed=seed)
 
 
 def random_forest(
@@ -74,17 +64,13 @@ def random_forest(
     trees: int = 100,
     max_depth: int | None = None,
     seed: int = 42,
-    max_bins: int = 64,
+    classes: int = 2,
+    width: int | None = None,
+    key: str | None = None,
 ) -> Estimator:
-    return RandomForestClassifier(
-        featuresCol=features,
-        labelCol=label,
-        numTrees=trees,
-        featureSubsetStrategy="sqrt",
-        maxDepth=max_depth or DEEPEST,
-        maxBins=max_bins,
-        seed=seed,
-    )
+    """Trees on rows drawn by hash; each node tries the square root of the features."""
+    tried = max(1, math.isqrt(width)) if width else None
+    return Forest(features, label, classes, trees, tried, max_depth, seed, bootstrap=True, key=key)
 
 
 def mlp(
@@ -149,8 +135,8 @@ REGISTRY = {
             "scaled",
             lambda d, k, seed, x, y: linear_svc(x, y, k),
         ),
-        ModelSpec("DecisionTreeClassifier", "raw", lambda d, k, seed, x, y: decision_tree(x, y, seed=seed)),
-        ModelSpec("RandomForestClassifier", "raw", lambda d, k, seed, x, y: random_forest(x, y, seed=seed)),
+        ModelSpec("DecisionTreeClassifier", "raw", lambda d, k, seed, x, y: decision_tree(x, y, seed=seed, classes=k)),
+        ModelSpec("RandomForestClassifier", "raw", lambda d, k, seed, x, y: random_forest(x, y, seed=seed, classes=k, width=d)),
         ModelSpec("MLPClassifier", "scaled", lambda d, k, seed, x, y: mlp(d, k, x, y, seed=seed)),
     )
 }

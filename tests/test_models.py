@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fitgrid.catalog.documents import LANGUAGE_FEATURES, QUALITY_FEATURES, language_table, quality_table
-from fitgrid.models.classify import REGISTRY, decision_tree, linear_svc, linear_svc_hinge
+from fitgrid.models.classify import REGISTRY, linear_svc, linear_svc_hinge
 from fitgrid.models.gini import gini_root_split
 from fitgrid.models.kernel import rbf_features, rbf_kernel
 from fitgrid.models.kmeans import Centres, assign_cluster, fit_kmeans_best_of, lloyd, nearest_centres
@@ -211,10 +211,6 @@ def test_gini_split_against_brute_force(spark, rows_per_range):
     assert row["n_left"] == (x <= best).sum() and row["n_right"] == (x > best).sum()
 
 
-def test_tree_depth_is_capped():
-    assert decision_tree(max_depth=None).getMaxDepth() == 30
-
-
 def test_models_beat_the_majority_on_document_quality(spark):
     docs = quality_table(spark, "/root/testdata/sf0.01")
     rows = {r["algorithm"]: r for r in evaluation.model_matrix(docs, "doc_id", QUALITY_FEATURES, "label").collect()}
