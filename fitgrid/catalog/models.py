@@ -8,7 +8,7 @@ from ..models import classify
 from ..models.classify import REGISTRY, ModelSpec
 from ..models.gini import gini_root_split
 from ..models.kernel import rbf_features, rbf_kernel, rbf_weights
-from ..models.kmeans import HALF, PRIME, draw_factors, fit_kmeans_best_of, lloyd
+from ..models.kmeans import HALF, PRIME, _key_halves, draw_factors, fit_kmeans_best_of, lloyd, oversampled_candidates
 from ..models.linear import fit_ols, ols_1d
 from ..operators.metrics import r2
 from ..operators.split import random_split
@@ -258,6 +258,42 @@ def m09c(spark, sf):
     return out.withColumn("cost", F.round("cost", 4))
 
 
+def _rounds_sql(seeds: tuple[int, ...], k: int, rounds: int) -> str:
+    """Candidates of oversampling rounds as chained tables, with the rows nearest to each."""
+    ctes = [
+        f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS x,
+  ('0x' || substr(md5(vec_id::VARCHAR), 1, {HALF}))::BIGINT % {PRIME} AS h0,
+  ('0x' || substr(md5(vec_id::VARCHAR), {HALF + 1}, {HALF}))::BIGINT % {PRIME} AS h1 FROM embeddings)"""
+    ]
+    ends = []
+    for seed in seeds:
+        def share(turn):
+            f0, f1 = draw_factors(seed, turn)
+            return f"(h0 * {f0} % {PRIME} + ((h1 * {f1} % {PRIME})::DOUBLE + 0.5::DOUBLE) / {PRIME}::DOUBLE) / {PRIME}::DOUBLE"
+
+        ctes.append(f"c{seed}_0 AS (SELECT 0 AS turn, arg_min(x, -ln({share(0)})) AS c FROM e)")
+        for turn in range(1, rounds + 1):
+            far = f"SELECT vec_id, any_value(x) AS x, any_value(h0) AS h0, any_value(h1) AS h1, min(list_distance(x, c)) ** 2 AS far FROM e, c{seed}_{turn - 1} GROUP BY vec_id"
+            ctes.append(f"f{seed}_{turn} AS MATERIALIZED ({far})")
+            ctes.append(
+                f"c{seed}_{turn} AS MATERIALIZED (SELECT * FROM c{seed}_{turn - 1} UNION ALL SELECT {turn}, x FROM f{seed}_{turn}"
+                f" WHERE {share(turn)} < {2.0 * k}::DOUBLE / (SELECT sum(far) FROM f{seed}_{turn}) * far)"
+            )
+        near = f"SELECT vec_id, arg_min(c, (list_distance(x, c), turn, c)) AS c FROM e, c{seed}_{rounds} GROUP BY vec_id"
+        sizes = f"SELECT c, count(*) AS n FROM ({near}) GROUP BY c"
+        ends.append(f"SELECT {seed} AS seed, turn, round(c[1], 9) AS first, coalesce(n, 0) AS n FROM c{seed}_{rounds} LEFT JOIN ({sizes}) USING (c)")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT seed, first, n::BIGINT AS n FROM (" + " UNION ALL ".join(ends) + ")"
+
+
+@query("m09d_kmeans_rounds", _rounds_sql((0, 1), 6, 2))
+def m09d(spark, sf):
+    """Candidate centres of two oversampling rounds and the rows nearest to each."""
+    data = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"), *_key_halves(F.col("vec_id")))
+    found = oversampled_candidates(data, 6, (0, 1), rounds=2)
+    rows = [(seed, round(float(c[0]), 9), int(n)) for seed, (candidates, sizes) in enumerate(found) for c, n in zip(candidates, sizes)]
+    return spark.createDataFrame(rows, "seed int, first double, n bigint")
+
+
 @query("p01_model_matrix")
 def p01(spark, sf):
     return model_matrix(quality_table(spark, sf), "doc_id", QUALITY_FEATURES, "label")

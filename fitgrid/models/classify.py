@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.sql import Column, functions as F
 
 from .kernel import RandomFourierFeatures
+from .mlp import Perceptron
 from .svm import LinearMachine
 from .trees import Forest
 
@@ -20,7 +21,7 @@ PARALLEL_FITS = 4
 def linear_svc(
     features: str = "features", label: str = "label", classes: int = 2, cost: float = 1.0, vote: str = "margin"
 ) -> Estimator:
-    """Linear machine with squared hinge loss; one machine per class beyond two."""
+    """Linear machine with squared hinge loss; beyond two classes one per class, or per pair with ``vote="pairs"``."""
     return LinearMachine(features, label, classes, cost, vote=vote)
 
 
@@ -74,7 +75,6 @@ def random_forest(
 
 
 def mlp(
-    width: int,
     classes: int,
     features: str = "features",
     label: str = "label",
@@ -84,9 +84,7 @@ def mlp(
     seed: int = 42,
 ) -> Estimator:
     """Perceptron with two hidden layers; stops once the loss no longer falls by ``tol``."""
-    return MultilayerPerceptronClassifier(
-        featuresCol=features, labelCol=label, layers=[width, *hidden, classes], maxIter=max_iter, tol=tol, seed=seed
-    )
+    return Perceptron(classes, hidden, features, label, max_iter, tol, seed)
 
 
 def mlp_forward(inputs: Sequence[Column], layers: Sequence[tuple], activation: str = "relu") -> list[Column]:
@@ -137,6 +135,6 @@ REGISTRY = {
         ),
         ModelSpec("DecisionTreeClassifier", "raw", lambda d, k, seed, x, y: decision_tree(x, y, seed=seed, classes=k)),
         ModelSpec("RandomForestClassifier", "raw", lambda d, k, seed, x, y: random_forest(x, y, seed=seed, classes=k, width=d)),
-        ModelSpec("MLPClassifier", "scaled", lambda d, k, seed, x, y: mlp(d, k, x, y, seed=seed)),
+        ModelSpec("MLPClassifier", "scaled", lambda d, k, seed, x, y: mlp(k, x, y, seed=seed)),
     )
 }

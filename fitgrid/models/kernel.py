@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import doubles, squared_distance
+from ..plans.sums import rows_as_matrix
 from .svm import as_array
 
 MAX_LANDMARKS = 1_000
@@ -56,18 +57,19 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol):
     def _transform(self, df: DataFrame) -> DataFrame:
         gamma, n_features, seed = self.gamma, self.n_features, self.seed
 
-        @F.pandas_udf("array<double>")
-        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             drawn = None
             for x in batches:
                 if not len(x):
-                    yield pd.Series([], dtype=object)
+                    yield pa.array([], pa.list_(pa.float64()))
                     continue
-                points = np.stack(x.to_numpy())
+                points = rows_as_matrix(x)
                 if drawn is None:
                     drawn = rbf_weights(points.shape[1], n_features, gamma, seed)
                 mapped = np.sqrt(2.0 / n_features) * np.cos(points @ drawn[0] + drawn[1])
-                yield pd.Series(list(mapped))
+                ends = np.arange(0, mapped.size + 1, n_features, dtype=np.int32)
+                yield pa.ListArray.from_arrays(ends, mapped.ravel())
 
         source, target = self.getInputCol(), self.getOutputCol()
         return df.withColumn(target, project(as_array(df, source)))

@@ -8,12 +8,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.sums import partition_sums, rows_as_matrix
+from ..plans.vectors import complete_vectors
 
 MAX_CENTRES = 10_000
 # The draw's modulus, a prime, and the hexadecimal digits of each half of the key's hash.
@@ -22,6 +22,10 @@ HALF = 15
 
 
 NEAREST_CELLS = 1 << 22
+# Up to so many centres are drawn one after the other, a pass each; more are drawn in rounds.
+ONE_BY_ONE = 32
+ROUNDS = 5
+OVERSAMPLING = 2.0
 
 
 def nearest_centres(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +74,11 @@ class Centres:
         """``struct(cluster, cost)`` of the nearest centre, the lowest number on ties."""
         matrix = np.array(self.points)
 
-        @F.pandas_udf("cluster int, cost double")
-        def nearest(x: pd.Series) -> pd.DataFrame:
-            points = np.stack(x.to_numpy()) if len(x) else np.empty((0, matrix.shape[1]))
+        @F.arrow_udf("cluster int, cost double")
+        def nearest(x: pa.Array) -> pa.Array:
+            points = rows_as_matrix(x) if len(x) else np.empty((0, matrix.shape[1]))
             best, cost = nearest_centres(points, matrix)
-            return pd.DataFrame({"cluster": best, "cost": cost})
+            return pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(cost)], ["cluster", "cost"])
 
         return nearest(col)
 
@@ -91,10 +95,11 @@ def lloyd(df: DataFrame, col: str, centres: Centres, n_iter: int) -> Centres:
     """``n_iter`` rounds of assign and average; an empty cluster keeps its centre.
 
     Each round is one pass; a task adds up its rows per cluster, so a cluster
-    with most of the rows costs no more than a small one.
+    with most of the rows costs no more than a small one. Vectors have to be complete.
     """
     data = df.select(F.col(col).cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        complete_vectors(data)
         partitions = data.rdd.getNumPartitions()
         for _ in range(n_iter):
             old = np.array(centres.points)
@@ -202,6 +207,78 @@ def spread_starts(data: DataFrame, k: int, seeds: Sequence[int]) -> np.ndarray:
     return starts
 
 
+def _oversampled(candidates: list[np.ndarray], shares: np.ndarray, seeds: Sequence[int], turn: int):
+    """Rows of a partition that a round takes: each by itself, with a chance in proportion to its cost."""
+    factors = [draw_factors(seed, turn) for seed in seeds]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = rows_as_matrix(batch.column("x"))
+            h0, h1 = (batch.column(c).to_numpy() for c in ("h0", "h1"))
+            for s, (f0, f1) in enumerate(factors):
+                drawn = (h0 * f0 % PRIME + (h1 * f1 % PRIME + 0.5) / PRIME) / PRIME
+                some = np.flatnonzero(drawn < shares[s] * nearest_centres(points, candidates[s])[1])
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s, np.int32)), pa.array(points[some].tolist(), pa.list_(pa.float64()))], ["start", "x"])
+
+    return run
+
+
+def oversampled_candidates(
+    data: DataFrame, k: int, seeds: Sequence[int], rounds: int = ROUNDS, oversampling: float = OVERSAMPLING
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each seed some ``rounds * oversampling * k`` candidate centres and the rows nearest to each.
+
+    After one first row a round takes every row with a chance of ``oversampling * k`` times its part of
+    the cost, all rows at once (Bahmani and others, 2012), so there are two passes a round however large ``k`` is.
+    """
+    partitions = data.rdd.getNumPartitions()
+    candidates = [c.copy() for c in spread_starts(data, 1, seeds)]
+    for turn in range(1, rounds + 1):
+        held = [c.copy() for c in candidates]
+
+        def cost(batch, held=held):
+            points = rows_as_matrix(batch.column("x"))
+            return np.array([nearest_centres(points, c)[1].sum() for c in held])
+
+        costs = partition_sums(data, cost, partitions)
+        shares = np.divide(oversampling * k, costs, out=np.zeros(len(costs)), where=costs > 0)
+        taken = data.mapInArrow(_oversampled(held, shares, seeds, turn), "start int, x array<double>").collect()
+        for s in range(len(seeds)):
+            fresh = sorted(r["x"] for r in taken if r["start"] == s)
+            if fresh:
+                candidates[s] = np.concatenate([candidates[s], np.array(fresh)])
+
+    def members(batch):
+        points = rows_as_matrix(batch.column("x"))
+        return np.concatenate([np.bincount(nearest_centres(points, c)[0], minlength=len(c)).astype(float) for c in candidates])
+
+    sizes = np.split(partition_sums(data, members, partitions), np.cumsum([len(c) for c in candidates])[:-1])
+    return list(zip(candidates, sizes))
+
+
+def reduced(candidates: np.ndarray, sizes: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` of the weighted candidates, drawn in proportion to rows times squared distance to those before."""
+    draw, far, chosen = np.random.default_rng(seed), np.ones(len(candidates)), []
+    for turn in range(k):
+        chance = sizes * far
+        if not chance.sum():
+            chosen.append(chosen[0])
+            continue
+        chosen.append(int(draw.choice(len(candidates), p=chance / chance.sum())))
+        gap = np.square(candidates - candidates[chosen[-1]]).sum(axis=1)
+        far = gap if not turn else np.minimum(far, gap)
+    return candidates[chosen]
+
+
+def oversampled_starts(data: DataFrame, k: int, seeds: Sequence[int], rounds: int = ROUNDS) -> np.ndarray:
+    """``k`` starting centres for each seed, in a number of passes that does not grow with ``k``."""
+    found = oversampled_candidates(data, k, seeds, rounds)
+    return np.stack([reduced(c, n, k, seed) for (c, n), seed in zip(found, seeds)])
+
+
 def _spread(points: np.ndarray) -> np.ndarray:
     """Rows, sums and sums of squares."""
     return np.stack([np.full(points.shape[1], len(points), dtype=float), points.sum(axis=0), np.square(points).sum(axis=0)])
@@ -239,15 +316,16 @@ def fit_kmeans_best_of(
 
     All starts advance in the same passes, so ten starts read the data as often
     as one, and every row takes part in all of them, the drawing of the starts
-    included. ``key`` names the rows for the draws; without one they are named by
-    their vector, and equal vectors are then drawn as one. A start is done when its centres' squared moves
+    included; beyond ``ONE_BY_ONE`` centres that takes ``ROUNDS`` rounds, whatever ``k``. ``key`` names the rows for the draws; without one they are named by
+    their vector, and equal vectors are then drawn as one. Vectors have to be complete. A start is done when its centres' squared moves
     add up to at most ``tol`` times the mean variance of a feature.
     """
     name = F.col(key) if key else F.to_json(F.array(F.col(col).cast("array<double>")))
     data = df.select(F.col(col).cast("array<double>").alias("x"), *_key_halves(name)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        complete_vectors(data)
         partitions = data.rdd.getNumPartitions()
-        starts = spread_starts(data, k, list(seeds))
+        starts = (spread_starts if k <= ONE_BY_ONE else oversampled_starts)(data, k, list(seeds))
         middle = starts[0, 0]
         rows, total, squares = partition_sums(data, lambda b: _spread(rows_as_matrix(b.column("x")) - middle), partitions).reshape(3, -1)
         still = tol * float((squares / rows - np.square(total / rows)).mean())

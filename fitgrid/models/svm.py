@@ -1,20 +1,23 @@
-"""Linear support vector machines with squared hinge loss, all classes at once.
+"""Linear support vector machines with squared hinge loss, all of them in the same passes.
 
 Minimises ``|w|²/2 + C Σ max(0, 1 - y w·x)²`` with a constant feature appended,
-by the finite Newton method (Mangasarian 2002; Keerthi and DeCoste 2005). A
+by the finite Newton method (Mangasarian 2002; Keerthi and DeCoste 2005). For narrow vectors a
 pass over the rows gives the loss and the second moments of the rows inside the
-margin, for every class together; some ten passes reach the minimum, where a
-gradient method over Spark jobs takes hundreds.
+margin, for every machine together; some ten passes reach the minimum, where a
+gradient method over Spark jobs takes hundreds. Second moments grow with the square of
+the width; wide vectors take the same steps by conjugate gradients (Lin, Weng and Keerthi 2008),
+where a pass multiplies one vector per machine by the curvature and returns no more than that.
 """
 
 from __future__ import annotations
 
+import itertools
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -23,9 +26,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import argmax, vote_first_positive
 from ..plans.sums import partition_sums, rows_as_matrix
+from ..plans.vectors import complete_vectors
 
-MAX_WIDTH = 2_000
+MOMENT_BYTES = 8 << 20
 UNROLLED = 64
+INNER_STEPS = 60
 
 
 def as_array(df: DataFrame, name: str) -> Column:
@@ -33,6 +38,33 @@ def as_array(df: DataFrame, name: str) -> Column:
     return vector_to_array(col) if isinstance(df.schema[name].dataType, VectorUDT) else col.cast("array<double>")
 
 
+def machines(classes: int, vote: str) -> list[tuple[int, int | None]]:
+    """The class each machine says yes to, and the one it tells it from (None: all others)."""
+    if classes == 2:
+        return [(1, None)]
+    if vote == "pairs":
+        return list(itertools.combinations(range(classes), 2))
+    return [(c, None) for c in range(classes)]
+
+
+def sides(label: np.ndarray, machine: tuple[int, int | None]) -> np.ndarray:
+    """1 and -1 for the two sides of a machine, 0 for rows it does not see."""
+    yes, no = machine
+    return np.where(label == yes, 1.0, -1.0 if no is None else np.where(label == no, -1.0, 0.0))
+
+
+def _inside(batch: pa.RecordBatch, some: list[tuple[int, int | None]], weights: np.ndarray) -> Iterator[tuple]:
+    """For each machine the rows inside its margin, their sides and how far inside they are."""
+    x = rows_as_matrix(batch.column("x"))
+    x = np.hstack([x, np.ones((len(x), 1))])
+    label = batch.column("y").to_numpy(zero_copy_only=False)
+    for machine, w in zip(some, weights):
+        y = sides(label, machine)
+        slack = 1.0 - y * (x @ w)
+        inside = (slack > 0) & (y != 0)
+        yield x[inside], y[inside], slack[inside]
+
+
 @dataclass
 class _Pass:
     """Loss, target moments and second moments of the active rows of one machine."""
@@ -43,61 +75,58 @@ class _Pass:
 
 
 class LinearMachine(Estimator):
-    """Trains one machine for two classes and one per class for more.
+    """Trains one machine for two classes and one per class, or per pair of classes, for more.
 
     ``label`` holds class codes 0..classes-1. With two classes the machine
-    separates class 1 from class 0.
+    separates class 1 from class 0. ``vote``: ``margin``, ``hard`` (one per class) or ``pairs``. Vectors
+    have to be complete; second moments of more than ``moment_bytes`` are never formed.
     """
 
-    def __init__(self, features="features", label="label", classes=2, cost=1.0, max_iter=50, tol=1e-6, vote="margin"):
+    def __init__(
+        self, features="features", label="label", classes=2, cost=1.0, max_iter=50, tol=1e-6, vote="margin", moment_bytes=MOMENT_BYTES
+    ):
         super().__init__()
         self.features, self.label, self.classes = features, label, classes
         self.cost, self.max_iter, self.tol, self.vote = cost, max_iter, tol, vote
+        self.moment_bytes = moment_bytes
 
     def _fit(self, df: DataFrame) -> LinearMachineModel:
         rows = df.select(as_array(df, self.features).alias("x"), F.col(self.label).cast("double").alias("y"))
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            width = len(rows.select("x").first()[0]) + 1
-            if width > MAX_WIDTH:
-                raise ValueError(f"{width} features; second moments are kept for at most {MAX_WIDTH}")
-            weights = self._newton(rows, width, rows.rdd.getNumPartitions())
+            width = complete_vectors(rows)[1] + 1
+            wide = 4 * len(self._machines()) * width * width > self.moment_bytes
+            weights = (self._conjugate if wide else self._newton)(rows, width, rows.rdd.getNumPartitions())
         finally:
             rows.unpersist()
-        return LinearMachineModel(weights, self.features, vote=self.vote)
+        return LinearMachineModel(weights, self.features, vote=self.vote, classes=self.classes)
 
-    def _targets(self) -> list[float]:
-        return [1.0] if self.classes == 2 else [float(c) for c in range(self.classes)]
+    def _machines(self) -> list[tuple[int, int | None]]:
+        return machines(self.classes, self.vote)
 
-    def _scan(self, rows: DataFrame, positive: list[float], weights: np.ndarray, partitions: int) -> list[_Pass]:
+    def _scan(self, rows: DataFrame, some: list[tuple[int, int | None]], weights: np.ndarray, partitions: int) -> list[_Pass]:
         """One pass for the machines that still move; of the symmetric moments one half is sent."""
         width = weights.shape[1]
         half = np.triu_indices(width)
 
         def block(batch):
-            x = rows_as_matrix(batch.column("x"))
-            x = np.hstack([x, np.ones((len(x), 1))])
-            label = batch.column("y").to_numpy(zero_copy_only=False)
-            out = np.empty((len(positive), 1 + width + len(half[0])))
-            for i, cls in enumerate(positive):
-                y = np.where(label == cls, 1.0, -1.0)
-                slack = 1.0 - y * (x @ weights[i])
-                inside = slack > 0
-                active = x[inside]
-                out[i, 0] = np.square(slack[inside]).sum()
-                out[i, 1 : 1 + width] = active.T @ y[inside]
-                out[i, 1 + width :] = (active.T @ active)[half]
+            out = np.empty((len(some), 1 + width + len(half[0])))
+            for i, (x, y, slack) in enumerate(_inside(batch, some, weights)):
+                out[i, 0] = np.square(slack).sum()
+                out[i, 1 : 1 + width] = x.T @ y
+                out[i, 1 + width :] = (x.T @ x)[half]
             return out
 
         found = []
-        for s in partition_sums(rows, block, partitions).reshape(len(positive), -1):
+        for s in partition_sums(rows, block, partitions).reshape(len(some), -1):
             gram = np.zeros((width, width))
             gram[half] = s[1 + width :]
             found.append(_Pass(s[0], s[1 : 1 + width], gram + np.triu(gram, 1).T))
         return found
 
     def _newton(self, rows: DataFrame, width: int, partitions: int) -> np.ndarray:
-        count, c = len(self._targets()), self.cost
+        every = self._machines()
+        count, c = len(every), self.cost
         weights = np.zeros((count, width))
         value = np.full(count, np.inf)
         step = np.ones(count)
@@ -108,8 +137,7 @@ class LinearMachine(Estimator):
         for turn in range(self.max_iter):
             trial = weights + step[:, None] * moved
             live = np.flatnonzero(open_)
-            positive = [self._targets()[i] for i in live]
-            for i, seen in zip(live, self._scan(rows, positive, trial[live], partitions)):
+            for i, seen in zip(live, self._scan(rows, [every[i] for i in live], trial[live], partitions)):
                 found = 0.5 * trial[i] @ trial[i] + c * seen.loss
                 if found > value[i] and step[i] > 1e-6:
                     step[i] *= 0.5
@@ -124,31 +152,111 @@ class LinearMachine(Estimator):
                 moved[i] = -np.linalg.solve(np.eye(width) + 2.0 * c * seen.gram, slope)
             if not open_.any():
                 return weights
-        warnings.warn(f"{int(open_.sum())} of {count} machines are not at their minimum after {self.max_iter} passes", stacklevel=3)
+        self._warn(open_)
+        return weights
+
+    def _warn(self, open_: np.ndarray) -> None:
+        text = f"{int(open_.sum())} of {len(open_)} machines are not at their minimum after {self.max_iter} passes"
+        warnings.warn(text, stacklevel=4)
+
+    def _slopes(self, rows: DataFrame, some: list, weights: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
+        """Value of the objective and its slope, one pass."""
+
+        def block(batch):
+            out = np.empty((len(some), 1 + weights.shape[1]))
+            for i, (x, y, slack) in enumerate(_inside(batch, some, weights)):
+                out[i, 0] = np.square(slack).sum()
+                out[i, 1:] = x.T @ (y * slack)
+            return out
+
+        sums = partition_sums(rows, block, partitions).reshape(len(some), -1)
+        return 0.5 * np.square(weights).sum(axis=1) + self.cost * sums[:, 0], weights - 2.0 * self.cost * sums[:, 1:]
+
+    def _curved(self, rows: DataFrame, some: list, weights: np.ndarray, vectors: np.ndarray, partitions: int) -> np.ndarray:
+        """Each machine's curvature at its weights times a vector, one pass."""
+
+        def block(batch):
+            out = np.empty((len(some), weights.shape[1]))
+            for i, (x, _, _) in enumerate(_inside(batch, some, weights)):
+                out[i] = x.T @ (x @ vectors[i])
+            return out
+
+        return vectors + 2.0 * self.cost * partition_sums(rows, block, partitions).reshape(len(some), -1)
+
+    def _conjugate(self, rows: DataFrame, width: int, partitions: int) -> np.ndarray:
+        """Newton steps whose linear systems are solved by conjugate gradients, all machines in the same passes."""
+        every = self._machines()
+        weights = np.zeros((len(every), width))
+        value, slope = self._slopes(rows, every, weights, partitions)
+        first = np.linalg.norm(slope, axis=1)
+        open_ = first > 0
+        for _ in range(self.max_iter):
+            if not open_.any():
+                return weights
+            live = np.flatnonzero(open_)
+            some = [every[i] for i in live]
+            moved = self._solve(rows, some, weights[live], slope[live], partitions)
+            step, waiting = np.ones(len(live)), np.ones(len(live), dtype=bool)
+            while waiting.any():
+                now = np.flatnonzero(waiting)
+                trial = weights[live[now]] + step[now, None] * moved[now]
+                found, fresh = self._slopes(rows, [some[i] for i in now], trial, partitions)
+                for j, i in enumerate(now):
+                    if found[j] <= value[live[i]] or step[i] <= 1e-6:
+                        at = live[i]
+                        weights[at], value[at], slope[at], waiting[i] = trial[j], found[j], fresh[j], False
+                    else:
+                        step[i] *= 0.5
+            open_ &= np.linalg.norm(slope, axis=1) > self.tol * np.maximum(first, 1e-12)
+        if open_.any():
+            self._warn(open_)
         return weights
 
+    def _solve(self, rows: DataFrame, some: list, weights: np.ndarray, slope: np.ndarray, partitions: int) -> np.ndarray:
+        """Newton directions, as exact as the slope is small."""
+        found = np.zeros_like(slope)
+        rest, way = -slope, -slope.copy()
+        size = np.square(rest).sum(axis=1)
+        enough = size * np.minimum(0.01, np.sqrt(size) * 0.01) ** 2
+        live = np.arange(len(some))
+        for _ in range(INNER_STEPS):
+            curved = self._curved(rows, [some[i] for i in live], weights[live], way[live], partitions)
+            length = size[live] / (way[live] * curved).sum(axis=1)
+            found[live] += length[:, None] * way[live]
+            rest[live] -= length[:, None] * curved
+            after = np.square(rest[live]).sum(axis=1)
+            way[live] = rest[live] + (after / size[live])[:, None] * way[live]
+            size[live] = after
+            live = live[after > enough[live]]
+            if not len(live):
+                break
+        return found
+
 
 class LinearMachineModel(Model):
     """Margins of all machines and the class they vote for."""
 
-    def __init__(self, weights: np.ndarray, features="features", prediction="prediction", vote="margin"):
+    def __init__(self, weights: np.ndarray, features="features", prediction="prediction", vote="margin", classes: int | None = None):
         super().__init__()
         self.weights, self.features, self.prediction, self.vote = weights, features, prediction, vote
+        self.classes = classes or max(2, len(weights))
 
     def with_vote(self, vote: str, prediction: str | None = None) -> LinearMachineModel:
-        """``margin``: the largest margin; ``hard``: the lowest class that says yes."""
-        return LinearMachineModel(self.weights, self.features, prediction or self.prediction, vote)
+        """``margin``: the largest margin; ``hard``: the lowest class that says yes; machines of pairs have ``pairs`` only."""
+        if (vote == "pairs") != (self.vote == "pairs"):
+            raise ValueError("machines of pairs of classes and of single classes vote differently")
+        return LinearMachineModel(self.weights, self.features, prediction or self.prediction, vote, self.classes)
 
     def margins(self, df: DataFrame) -> Column:
         x, weights = as_array(df, self.features), self.weights
         if weights.size <= UNROLLED:
             return F.array(*[_weighted(x, w) for w in weights.tolist()])
 
-        @F.pandas_udf("array<double>")
-        def score(batch: pd.Series) -> pd.Series:
-            if not len(batch):
-                return pd.Series([], dtype=object)
-            return pd.Series(list(np.stack(batch.to_numpy()) @ weights[:, :-1].T + weights[:, -1]))
+        @F.arrow_udf("array<double>")
+        def score(batch: pa.Array) -> pa.Array:
+            found = rows_as_matrix(batch) @ weights[:, :-1].T + weights[:, -1] if len(batch) else np.empty((0, len(weights)))
+            ends = np.arange(0, found.size + 1, len(weights), dtype=np.int32)
+            return pa.ListArray.from_arrays(ends, found.ravel())
 
         return score(x)
 
@@ -157,6 +265,12 @@ class LinearMachineModel(Model):
         margins = F.col("margins")
         if len(self.weights) == 1:
             found = (margins[0] > 0).cast("double")
+        elif self.vote == "pairs":
+            pairs = machines(self.classes, "pairs")
+            yes, no = (F.array(*[F.lit(p[side]) for p in pairs]) for side in (0, 1))
+            winners = F.transform(margins, lambda m, i: F.when(m > 0, F.get(yes, i)).otherwise(F.get(no, i)))
+            every = F.array(*[F.lit(c) for c in range(self.classes)])
+            found = argmax(F.transform(every, lambda c: F.size(F.filter(winners, lambda w: w == c)).cast("double"))).cast("double")
         elif self.vote == "hard":
             found = vote_first_positive(F.transform(margins, lambda m: (m > 0).cast("int"))).cast("double")
         else:

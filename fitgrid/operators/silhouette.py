@@ -12,13 +12,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.joins import lookup_join
+from ..plans.vectors import complete_vectors
 
 BLOCK_ROWS = 8192
 SMALLEST_BLOCK = 1024
 
 
 def silhouette_squared(df: DataFrame, col: str, cluster: str) -> DataFrame:
-    """Mean silhouette under squared Euclidean distance; linear in the rows."""
+    """Mean silhouette under squared Euclidean distance; linear in the rows. Vectors have to be complete."""
+    complete_vectors(df.select(F.col(col).cast("array<double>").alias("x")))
     points = df.select(
         array_to_vector(F.col(col).cast("array<double>")).alias("features"), F.col(cluster).cast("int").alias("prediction")
     )
@@ -35,9 +37,9 @@ def silhouette_exact(
     two blocks, computes their distances as a matrix and emits one sum per row and
     cluster, never a pair. Each row is sent to every other block, so
     n² / ``block_rows`` rows are moved: use ``silhouette_squared`` for large tables.
-    A row that is at distance zero from both clusters scores 0.
+    A row that is at distance zero from both clusters scores 0. Vectors have to be complete.
     """
-    rows = df.count()
+    rows, _ = complete_vectors(df.select(F.col(col).cast("array<double>").alias("x")))
     cores = df.sparkSession.sparkContext.defaultParallelism
     enough = min(math.ceil(math.sqrt(2 * cores)), math.ceil(rows / SMALLEST_BLOCK))
     blocks = max(1, math.ceil(rows / block_rows), enough)
