@@ -11,7 +11,7 @@ is spread over many tasks. Token ids stay where they were made.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from ..session import materialise
 from .batches import memo, slices, without
 
-RANK_ROWS = 20_000
+RANK_ROWS = 4_000
 END = 2
 PIECE = T.StructType(
     [
@@ -128,27 +128,78 @@ def cut(
     return docs.select(*kept, column).mapInArrow(run, T.StructType(fields + PIECE.fields))
 
 
+class Sums:
+    """What adds up to a total: single lengths, pairs and triples of the lengths that are there.
+
+    Pairs are indexed by their sum when it is first asked for, the most even first, so that short
+    pieces stay; a triple is a length and an indexed pair. Only lengths above ``floor`` take part in
+    pairs and triples. An entry whose parts have run out is passed over.
+    """
+
+    def __init__(self, left: np.ndarray, floor: int):
+        self.left, self.floor = left, floor
+        self.index: dict[int, list[int]] = {}
+
+    def single(self, total: int) -> bool:
+        return self.left[total] > 0
+
+    def pairs(self, total: int, most: int | None = None) -> Iterator[tuple[int, int]]:
+        """Longer and shorter part, the longer one not above ``most``."""
+        if total not in self.index:
+            longer = np.arange((total + 1) // 2, total - self.floor)
+            there = (self.left[longer] > 0) & (self.left[total - longer] > 0)
+            self.index[total] = longer[there].tolist()
+        for b in self.index[total]:
+            if most is not None and b > most:
+                return
+            if self.left[b] and self.left[total - b]:
+                yield b, total - b
+
+    def triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        for a in range((total + 2) // 3, total - 2 * self.floor):
+            if self.left[a]:
+                for b, c in self.pairs(total - a, a):
+                    if not self.left[a]:
+                        break
+                    yield a, b, c
+
+
 class Plan:
     """Which ranks of which lengths share sequences.
 
-    ``counts[l]`` pieces of length ``l``. Gaps are filled exactly by up to ``parts`` pieces.
+    ``counts[l]`` pieces of length ``l``. Gaps are filled exactly by one further piece, then by indexed
+    pairs, then by triples, as often as all their parts are there; the rest goes by best fit. The shortest
+    pieces, up to ``reserve`` of the whole size, stay out of pairs and triples: later gaps need them.
     """
 
+    RESERVES = (0.0, 0.01, 0.02, 0.05)
+
     @classmethod
     def best(cls, counts: np.ndarray) -> Plan:
-        """The plan of the fewest sequences: with few pieces, combinations of three can use up
-        what the rest would have needed."""
-        return min((cls(counts, parts) for parts in (3, 2, 1, 0)), key=lambda plan: plan.sequences)
-
-    def __init__(self, counts: np.ndarray, parts: int = 3):
-        self.parts = parts
+        """The plan of the fewest sequences among a few reserves and both directions of lengths."""
+        least = -(-int(counts @ np.arange(len(counts))) // (len(counts) - 1))
+        found = None
+        for reserve in cls.RESERVES:
+            for upwards in (False, True):
+                plan = cls(counts, reserve, upwards)
+                if found is None or plan.sequences < found.sequences:
+                    found = plan
+                if found.sequences == least:
+                    return found
+        return found
+
+    def __init__(self, counts: np.ndarray, reserve: float = 0.0, upwards: bool = False):
         self.capacity = len(counts) - 1
         self.left = counts.astype(np.int64).copy()
         self.used = np.zeros(len(counts), dtype=np.int64)
         self.sequences = 0
+        #: sequences filled exactly by a piece and none, one, two or three more
+        self.exact = [0, 0, 0, 0]
         #: (length, first rank, number, first sequence, offset)
         self.intervals: list[tuple[int, int, int, int, int]] = []
-        self._complements()
+        sizes = np.cumsum(self.left * np.arange(len(counts)))
+        self.floor = int(np.searchsorted(sizes, reserve * sizes[-1])) if reserve else 0
+        self._complements(upwards)
         self._best_fit()
 
     def _emit(self, lengths: Sequence[int], number: int) -> None:
@@ -161,44 +212,28 @@ class Plan:
 
     def _take(self, lengths: Sequence[int]) -> None:
         """Use a combination as often as the counts allow."""
-        need = np.bincount(lengths, minlength=len(self.left))
-        wanted = np.flatnonzero(need)
-        number = int((self.left[wanted] // need[wanted]).min())
+        number = min(int(self.left[n]) // lengths.count(n) for n in set(lengths))
         if number:
-            self.left[wanted] -= number * need[wanted]
+            for n in lengths:
+                self.left[n] -= number
             self._emit(lengths, number)
+            self.exact[len(lengths) - 1] += number
 
-    def _pairs(self, total: int) -> np.ndarray:
-        """The longer parts of the pairs that add up to ``total``, longest first."""
-        longer = np.arange(total - 1, (total - 1) // 2, -1)
-        shorter = total - longer
-        there = (self.left[longer] > 0) & (self.left[shorter] > 0) & ((longer != shorter) | (self.left[longer] > 1))
-        return longer[there]
-
-    def _complements(self) -> None:
-        """For each length from the longest, fill the gap exactly by one, two or three pieces."""
-        for length in range(self.capacity, 0, -1):
-            gap = self.capacity - length
-            if not self.left[length]:
-                continue
-            if gap == 0:
+    def _complements(self, upwards: bool) -> None:
+        sums, every = Sums(self.left, self.floor), range(self.capacity, 0, -1)
+        for length in every:
+            if length == self.capacity:
                 self._take([length])
-                continue
-            if self.left[gap] and self.parts:
-                self._take([length, gap])
-            for b in self._pairs(gap).tolist() if self.left[length] and self.parts > 1 else ():
-                self._take([length, b, gap - b])
-            for b in range(gap - 2, (gap - 1) // 3, -1) if self.parts > 2 else ():
-                if not self.left[length]:
-                    break
-                while self.left[b] and self.left[length]:
-                    pairs = self._pairs(gap - b)
-                    pairs = pairs[pairs <= b]
-                    before = self.left[length]
-                    for c in pairs.tolist():
-                        self._take([length, b, c, gap - b - c])
-                    if before == self.left[length]:
-                        break
+            elif self.left[length] and sums.single(self.capacity - length):
+                self._take([length, self.capacity - length])
+        some = [n for n in (reversed(every) if upwards else every) if self.floor < n < self.capacity]
+        for more in (sums.pairs, sums.triples):
+            for length in some:
+                if self.left[length]:
+                    for parts in more(self.capacity - length):
+                        self._take([length, *parts])
+                        if not self.left[length]:
+                            break
 
     def _best_fit(self) -> None:
         """What is left, longest first, each piece into the tightest gap that holds it."""
@@ -239,13 +274,13 @@ def place(pieces: DataFrame, capacity: int = 1024, order: Sequence[str] = ("doc_
             raise ValueError(f"a piece of length {length} does not fit into {capacity}")
         counts[length] = number
     plan = Plan.best(counts)
-    # groups of bounded size within a length, whatever its count
+    # groups of bounded size within a length, whatever its count; the whole row decides, as ids may be null or repeat
     groups = {n: int(-(-c // rank_rows)) for n, c in enumerate(counts.tolist()) if c > rank_rows}
     salts = F.lit(1)
     if groups:
         known = F.create_map(*[F.lit(v) for kv in groups.items() for v in kv])
         salts = F.coalesce(known[F.col("length").cast("int")], F.lit(1))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), salts).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "length"]), salts).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_pieces"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "_salt", F.coalesce(F.sum("_pieces").over(before), F.lit(0)).alias("_seen"))

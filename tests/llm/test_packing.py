@@ -4,11 +4,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from fitgrid.llm import QUERIES, packing
-from fitgrid.llm.packing import Plan
+from fitgrid.llm.packing import Plan, Sums
 
 from .conftest import PLAIN
 
@@ -43,6 +44,29 @@ def test_exact_complements_fill_sequences():
     assert Plan(counts).sequences == -(-1080 // 100)
 
 
+def test_pairs_and_triples_are_consumed_by_availability():
+    counts = np.zeros(101, dtype=int)
+    counts[[70, 20, 10, 61, 15, 14]] = [3, 2, 3, 2, 1, 2]
+    plan = Plan(counts)
+    # 70+20+10 twice by a pair, 61+15+14+10 once by a triple, then 70+14 and 61
+    assert plan.exact == [0, 0, 2, 1] and plan.sequences == 5 and (plan.used == counts).all()
+    sums = Sums(counts.copy(), 0)
+    assert list(sums.pairs(30)) == [(15, 15), (20, 10)] and list(sums.pairs(30, 15)) == [(15, 15)]
+    assert (15, 14, 10) in list(sums.triples(39)) and not sums.single(30) and sums.single(61)
+    assert list(Sums(counts.copy(), 10).pairs(30)) == [(15, 15)]
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.01", 964), ("sf0.1", 9872)])
+def test_plan_of_the_tables_uses_combinations(sf, most):
+    vocabulary, counts = packing.Vocabulary(PLAIN, True), np.zeros(1025, dtype=int)
+    texts = [t or "" for t in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for ids in vocabulary.encode_many(texts):
+        counts[1024] += len(ids) // 1024
+        counts[len(ids) % 1024 + 1] += 1
+    plan = Plan.best(counts)
+    assert plan.sequences <= most and plan.exact[2] + plan.exact[3] > 0 and (plan.used == counts).all()
+
+
 def test_equal_odd_lengths_go_by_best_fit():
     counts = np.zeros(11, dtype=int)
     counts[3], counts[7] = 7, 1
