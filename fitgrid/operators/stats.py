@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import size_class
-from ..plans.joins import fits_broadcast
-from ..plans.running import MAX_RANGES, with_range
+from ..plans.joins import lookup_join
 from ..session import materialise
 
 STATS = {
@@ -19,6 +18,8 @@ STATS = {
 }
 SAMPLE_FIELDS = ("mean", "std_dev", "min", "max", "count")
 GROUP_ROWS = 1_000_000
+SLACK = 2e-4
+FINER = 64
 
 
 def dataset_profile(
@@ -99,85 +100,81 @@ def latency_summary(
     """Mean and percentiles with linear interpolation, one column ``pNN`` each.
 
     The built-in ``percentile`` holds a group's values in one task, so it is
-    used only while the largest group has at most ``group_rows`` rows. Larger
-    groups are cut into value ranges and only the ranges that hold a wanted
-    position are sorted.
+    used for groups of at most ``group_rows`` rows only. For larger ones a sketch per
+    group proposes borders around the wanted positions, exact counts between the
+    borders decide, and only the cells that hold a position are sorted.
     """
     names = [f"p{q * 100:g}".replace(".", "_") for q in qs]
     value = F.col(col).cast("double")
-    base = df.groupBy(*keys) if keys else df.groupBy(F.lit(0).alias("_all"))
     if approximate:
-        found = F.percentile_approx(value, list(qs), 10_000)
-    else:
-        largest = base.agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest > group_rows:
-            return _percentiles_by_range(df, keys, value, qs, names, largest, group_rows)
-        found = F.percentile(value, list(qs))
+        base = df.groupBy(*keys) if keys else df.groupBy(F.lit(0).alias("_all"))
+        return _built_in(base, value, F.percentile_approx(value, list(qs), 10_000), keys, names)
+    source = df.withColumn("_g", F.to_json(F.struct(*keys)) if keys else F.lit(""))
+    sizes = source.groupBy("_g").agg(F.count(value).alias("_rows"), F.avg(value).alias("mean"), *[F.first(k).alias(k) for k in keys])
+    large = sizes.filter(F.col("_rows") > group_rows)
+    if not large.take(1):
+        base = df.groupBy(*keys) if keys else df.groupBy(F.lit(0).alias("_all"))
+        return _built_in(base, value, F.percentile(value, list(qs)), keys, names)
+    large = materialise(large, "large-groups")
+    small = lookup_join(source, large.select("_g"), "_g", "left_anti")
+    some = _built_in(small.groupBy("_g", *keys), value, F.percentile(value, list(qs)), keys, names)
+    values = lookup_join(source.select("_g", value.alias("_v")).filter(F.col("_v").isNotNull()), large.select("_g"), "_g", "left_semi")
+    points = _percentiles_by_cells(values, large.select("_g", "_rows"), list(qs), names, group_rows)
+    return some.unionByName(large.join(points, "_g").select(*some.columns))
+
+
+def _built_in(base, value: Column, found: Column, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     out = base.agg(F.avg(value).alias("mean"), found.alias("_found"))
     return out.select(*keys, "mean", *[F.col("_found")[i].alias(n) for i, n in enumerate(names)])
 
 
-def _percentiles_by_range(df, keys, value, qs, names, largest, group_rows) -> DataFrame:
-    keys = list(keys) or ["_all"]
-    source = df if "_all" not in keys else df.withColumn("_all", F.lit(0))
-    values = source.select(*keys, value.alias("_v")).filter(F.col("_v").isNotNull())
-    ranges = min(MAX_RANGES, max(2, -(-4 * largest // group_rows)))
-    ranged = with_range(values, F.col("_v"), ranges)
-
-    # rows before each range, from one small row per group and range
-    totals = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"))
-    by_range = Window.partitionBy(*keys).orderBy("_range")
-    whole = Window.partitionBy(*keys)
-    placed = totals.select(
-        *keys,
-        "_range",
-        "_n",
-        (F.sum("_n").over(by_range) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(whole).alias("_rows"),
-        (F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("mean"),
-    )
-    # 0-based positions on both sides of each wanted quantile
-    asked = placed.select(
-        "*",
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
-        ).alias("a"),
-    ).withColumn("_at", F.col("a.q") * (F.col("_rows") - 1))
-    sides = asked.select(
-        *keys, "_range", "_n", "_before", "mean", "_at", "a.i",
-        F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_pos"),
-    ).distinct()
-    inside = (F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_n"))
-    wanted = materialise(sides.filter(inside), "percentile-positions")
-
-    # equal values are counted before the sort; only ranges asked for take part
-    asked_for = wanted.select(*keys, "_range").distinct()
-    if fits_broadcast(asked_for):
-        asked_for = F.broadcast(asked_for)
-    counted = (
-        ranged.join(asked_for, [*keys, "_range"], "left_semi")
-        .groupBy(*keys, "_range", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    inner = Window.partitionBy(*keys, "_range").orderBy("_v")
-    upto = counted.withColumn("_upto", F.sum("_c").over(inner))
-    hit = upto.join(wanted, [*keys, "_range"]).filter(
-        (F.col("_pos") - F.col("_before") < F.col("_upto"))
-        & (F.col("_pos") - F.col("_before") >= F.col("_upto") - F.col("_c"))
-    )
-    ends = hit.groupBy(*keys, "i").agg(
-        F.min_by("_v", "_pos").alias("_low"),
-        F.max_by("_v", "_pos").alias("_high"),
-        F.first("_at").alias("_at"),
-        F.first("mean").alias("mean"),
-    )
-    share = F.col("_at") - F.floor("_at")
-    point = F.col("_low") + (F.col("_high") - F.col("_low")) * share
-    out = ends.groupBy(*keys).agg(
-        F.first("mean").alias("mean"),
-        *[F.max(F.when(F.col("i") == i, point)).alias(n) for i, n in enumerate(names)],
-    )
-    return out.drop("_all")
+def _percentiles_by_cells(values: DataFrame, sizes: DataFrame, qs: Sequence[float], names: Sequence[str], group_rows: int) -> DataFrame:
+    """Percentiles of large groups: ``_g`` and one column per name, from ``_g, _v`` and rows per group.
+
+    A group's borders are some of its values; a cell is a border (odd number) or what lies between two.
+    A position in a border's cell is found; cells between borders get further borders until they hold no
+    more than ``group_rows`` rows. Every group has its own borders, so none of its tasks is larger than a cell.
+    """
+    near = sorted({min(1.0, max(0.0, q + side * SLACK)) for q in qs for side in (-1, 1)})
+    borders = values.groupBy("_g").agg(F.percentile_approx("_v", near, 10_000).alias("_b"))
+    borders = materialise(borders.withColumn("_b", F.array_sort(F.array_distinct("_b"))), "borders")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
+    asked = sizes.select("_g", "_rows", F.explode(each).alias("a")).select("_g", "a.i", (F.col("a.q") * (F.col("_rows") - 1)).alias("_at"))
+    asked = asked.select("_g", "i", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_pos"))
+    while True:
+        below = F.size(F.filter("_b", lambda b: b < F.col("_v")))
+        cell = (2 * below + F.array_contains("_b", F.col("_v")).cast("int")).alias("_cell")
+        placed = lookup_join(values, borders, "_g").select("_g", "_v", cell)
+        upto = Window.partitionBy("_g").orderBy("_cell")
+        cells = placed.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        cells = cells.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).join(borders, "_g")
+        border = F.when(F.col("_cell") % 2 == 1, F.get("_b", ((F.col("_cell") - 1) / 2).cast("int")))
+        inside = (F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_n"))
+        wanted = asked.join(cells.withColumn("_found", border).drop("_b"), "_g").filter(inside)
+        wanted = materialise(wanted, "percentile-positions")
+        crowded = wanted.filter(F.col("_found").isNull() & (F.col("_n") > group_rows))
+        if not crowded.take(1):
+            break
+        chosen = crowded.groupBy("_g").agg(F.collect_set("_cell").alias("_cells"))  # as many as positions at most
+        rows = lookup_join(placed, chosen, "_g", "inner").filter(F.array_contains("_cells", F.col("_cell")))
+        grid = [i / FINER for i in range(FINER + 1)]
+        finer = rows.groupBy("_g", "_cell").agg(F.percentile_approx("_v", grid, 10_000).alias("_more"))
+        finer = finer.groupBy("_g").agg(F.flatten(F.collect_list("_more")).alias("_more"))
+        joined = borders.join(finer, "_g", "left").withColumn("_more", F.coalesce("_more", F.array().cast("array<double>")))
+        borders = materialise(joined.select("_g", F.array_sort(F.array_distinct(F.concat("_b", "_more"))).alias("_b")), "borders")
+    # equal values are counted before the sort; only cells asked for take part
+    chosen = wanted.filter(F.col("_found").isNull()).groupBy("_g").agg(F.collect_set("_cell").alias("_cells"))
+    counted = lookup_join(placed, chosen, "_g", "inner").filter(F.array_contains("_cells", F.col("_cell")))
+    counted = counted.groupBy("_g", "_cell", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    running = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_g", "_cell").orderBy("_v")))
+    at = F.col("_pos") - F.col("_before")
+    sorted_out = running.join(wanted.filter(F.col("_found").isNull()), ["_g", "_cell"]).filter((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_c")))
+    kept = ["_g", "i", "_at", "_pos"]
+    hits = sorted_out.select(*kept, "_v").unionByName(wanted.filter(F.col("_found").isNotNull()).select(*kept, F.col("_found").alias("_v")))
+    ends = hits.groupBy("_g", "i").agg(F.min_by("_v", "_pos").alias("_low"), F.max_by("_v", "_pos").alias("_high"), F.first("_at").alias("_at"))
+    point = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
+    return ends.groupBy("_g").agg(*[F.max(F.when(F.col("i") == i, point)).alias(n) for i, n in enumerate(names)])
+
 
 
 def throughput(df: DataFrame, keys: Sequence[str], seconds: str, out: str = "samples_per_sec") -> DataFrame:

@@ -62,6 +62,30 @@ def test_percentiles_by_range_equal_the_built_in(spark, keys):
                 assert other[name] == pytest.approx(row[name]), (name, row)
 
 
+def test_percentiles_of_a_large_group_in_a_narrow_band(spark):
+    """One group holds most rows, all close together, among thousands of small ones far apart."""
+    large = spark.range(60_000).selectExpr("'large' as k", "500 + (id * 7919 % 60000) / 1e9 as v")
+    small = spark.range(9_000).selectExpr("concat('s', id % 3000) as k", "cast(id % 1000 as double) as v")
+    df, qs = large.unionByName(small), (0.5, 0.9, 0.99)
+    want = {r["k"]: r for r in stats.latency_summary(df, ["k"], "v", qs).collect()}
+    found = {r["k"]: r for r in stats.latency_summary(df, ["k"], "v", qs, group_rows=1_000).collect()}
+    assert set(found) == set(want) and len(found) == 3001
+    for k, row in want.items():
+        assert tuple(found[k]) == pytest.approx(tuple(row))
+    # the cells that are sorted hold a small part of the large group
+    values = df.selectExpr("k as _g", "v as _v").filter("k = 'large'")
+    sizes = values.groupBy("_g").agg(F.count("*").alias("_rows"))
+    points = stats._percentiles_by_cells(values, sizes, list(qs), ["a", "b", "c"], 40).first()
+    assert (points["a"], points["b"], points["c"]) == pytest.approx(tuple(want["large"])[2:])
+
+
+def test_percentiles_of_equal_values_and_empty_groups(spark):
+    df = spark.createDataFrame([("a", 3.0)] * 50 + [("b", None)] * 20 + [("a", 4.0)] * 50 + [(None, 1.0)] * 30, "k string, v double")
+    rows = {r["k"]: r for r in stats.latency_summary(df, ["k"], "v", (0.0, 0.5, 1.0), group_rows=10).collect()}
+    assert (rows["a"]["p0"], rows["a"]["p50"], rows["a"]["p100"]) == (3.0, 3.5, 4.0)
+    assert rows["b"]["mean"] is None and rows[None]["p50"] == 1.0
+
+
 def test_percentiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     values = rng.lognormal(size=777)
