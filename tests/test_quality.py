@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from fitgrid.operators import metrics
-from fitgrid.operators.silhouette import silhouette_exact, silhouette_squared
+from fitgrid.operators.silhouette import meetings, silhouette_exact, silhouette_squared
 from fitgrid.operators.votes import ovr_vote
 
 
@@ -77,3 +77,20 @@ def test_silhouette_of_equal_points_in_two_clusters(spark):
     rows = [(i, [1.0, 1.0], i % 2) for i in range(6)]
     df = spark.createDataFrame(rows, "id bigint, x array<double>, c int")
     assert {r["silhouette"] for r in silhouette_exact(df, "id", "x", "c").collect()} == {0.0}
+
+
+@pytest.mark.parametrize("block_rows", [8192, 16])
+def test_far_clusters_are_never_met(spark, block_rows):
+    draw = np.random.default_rng(6)
+    middles = np.array([[0.0, 0.0], [3.0, 0.0], [60.0, 0.0], [63.0, 1.0], [0.0, 90.0]])
+    clusters = draw.integers(0, 5, 150).tolist() + [7, None]
+    points = [(middles[c % 5 if c is not None else 0] + draw.normal(size=2)).tolist() for c in clusters]
+    df = spark.createDataFrame([(f"k{i:03d}", p, c) for i, (p, c) in enumerate(zip(points, clusters))], "id string, x array<double>, c int")
+    got = silhouette_exact(df, "id", "x", "c", block_rows).orderBy("id").collect()
+    want = brute_silhouette(points[:-1], clusters[:-1])
+    assert [r["silhouette"] for r in got] == pytest.approx(want)
+    pairs = silhouette_exact(df, "id", "x", "c", block_rows, most_clusters=1).orderBy("id").collect()
+    assert [r["silhouette"] for r in pairs] == pytest.approx(want)
+    sizes = df.groupBy("c").count().withColumnRenamed("c", "other")
+    met = meetings(df.filter("c is not null"), "id", "x", "c").join(sizes, "other").agg({"count": "sum"}).first()[0]
+    assert met < 0.6 * 151**2
