@@ -23,7 +23,7 @@ def det(m) -> str:
     )
 
 
-def machine_sql(rows: str, classes: list, pairs: bool = False) -> str:
+def machine_sql(rows: str, classes: list, pairs: bool = False, digits: int = 4) -> str:
     """Squared hinge machines over ``x1, x2, label``: each round solves for the rows inside the margin.
 
     ``rows`` is a query; the rounds end at the minimum, where the set of those rows no longer changes.
@@ -53,7 +53,7 @@ def machine_sql(rows: str, classes: list, pairs: bool = False) -> str:
         )
         ctes.append(f"m{i + 1} AS MATERIALIZED (SELECT cls, {', '.join(solved)} FROM s{i})")
     last = f"m{ROUNDS}"
-    parts = [f"SELECT 'weight' AS kind, cls AS a, '{t}' AS b, round(w{k}, 4) + 0.0::DOUBLE AS value FROM {last}" for k, t in enumerate(TERMS)]
+    parts = [f"SELECT 'weight' AS kind, cls AS a, '{t}' AS b, round(w{k}, {digits}) + 0.0::DOUBLE AS value FROM {last}" for k, t in enumerate(TERMS)]
     score = " ".join(["f AS (SELECT d.*, cls, w0*x1 + w1*x2 + w2 AS f FROM d,", f"{last}),"])
     if pairs:
         wins = "SELECT id, label, CASE WHEN f > 0 THEN yes ELSE no END AS win, count(*) AS n FROM f JOIN c USING (cls) GROUP BY id, label, win"

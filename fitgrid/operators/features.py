@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.joins import lookup_join
 
 MAX_CLASSES = 10_000
+FLAT = 1e-8
 
 
 def split_xy(df: DataFrame, target: str | None = None, key: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +64,7 @@ class Scaler:
         )
 
 
-def scaler_stats(df: DataFrame, cols: Sequence[str], eps: float = 1e-8) -> DataFrame:
+def scaler_stats(df: DataFrame, cols: Sequence[str], eps: float = FLAT) -> DataFrame:
     """Rows ``(column, mean, std)`` from one pass over ``df``.
 
     The deviation is the population form; below ``eps`` it counts as 1.
@@ -81,7 +82,7 @@ def scaler_stats(df: DataFrame, cols: Sequence[str], eps: float = 1e-8) -> DataF
     return df.agg(F.array(*aggs).alias("stats")).select(F.inline("stats"))
 
 
-def fit_scaler(df: DataFrame, cols: Sequence[str], eps: float = 1e-8) -> Scaler:
+def fit_scaler(df: DataFrame, cols: Sequence[str], eps: float = FLAT) -> Scaler:
     rows = scaler_stats(df, cols, eps).collect()
     return Scaler({r["column"]: (r["mean"], r["std"]) for r in rows})
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..plans.selection import SORT_BELOW, at_or_before, kth_row
+from ..plans.selection import SORT_BELOW, at_or_before, kth_row, ordinal
 
 HASH_DIGITS = 15
 HASH_SPACE = 16**HASH_DIGITS
+ROUNDS = 8
 
 
 def counted(df: DataFrame, names: Sequence[str]) -> int:
@@ -94,3 +95,60 @@ def random_split(
     else:
         chosen = F.col("_hash") < F.lit(_hex(test_size * HASH_SPACE))
     return hashed.withColumn("part", F.when(chosen, F.lit("test")).otherwise(F.lit("train"))).drop("_hash")
+
+
+def random_tests(
+    df: DataFrame, key: str | Sequence[str], test_size: float, seeds: Sequence[int], rows: int | None = None, sort_below: int = SORT_BELOW
+) -> DataFrame:
+    """Add ``_test0``, ``_test1``, …: whether ``random_split`` by the first, second, … seed has a row in ``test``.
+
+    All seeds narrow their intervals in the same passes, so their number does not change how often
+    the keys are read.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    rows = counted(df, key) if rows is None else rows
+    size = math.ceil(test_size * rows)
+    if size == 0:
+        return df.withColumns({f"_test{i}": F.lit(False) for i in range(len(seeds))})
+    hashed = df.select(*key, *[hash_position(key, seed).alias(f"_h{i}") for i, seed in enumerate(seeds)])
+    # wanted place, first and last hash that can have it, rows from the first to the last
+    state = [[size, 0, HASH_SPACE - 1, rows] for _ in seeds]
+    for _ in range(ROUNDS):  # few are enough for unique keys; what is left then is sorted whole
+        if all(s[3] <= sort_below for s in state):
+            break
+        asked = {}
+        for i, (k, low, high, inside) in enumerate(state):
+            if inside > sort_below:
+                near = _narrow(_hex(low) if low else None, _hex(high), k, inside)
+                asked[i] = max(near[0], _hex(low)), min(near[1], _hex(high))
+        tests = [F.count_if((F.col(f"_h{i}") >= _hex(state[i][1])) & t) for i, (low, high) in asked.items() for t in (F.col(f"_h{i}") < low, F.col(f"_h{i}") <= high)]
+        found = hashed.agg(*tests).first()
+        for n, (i, (low, high)) in enumerate(asked.items()):
+            k, first, last, inside = state[i]
+            below, upto = found[2 * n], found[2 * n + 1]
+            if k <= below:
+                state[i] = [k, first, int(low, 16) - 1, below]
+            elif k <= upto:
+                state[i] = [k - below, int(low, 16), int(high, 16), upto - below]
+            else:
+                state[i] = [k - upto, int(high, 16) + 1, last, inside - upto]
+    order = ["_hash", *key]
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_h{i}").alias("_hash")) for i in range(len(seeds))])
+    open_ = F.array(*[F.struct(F.lit(_hex(s[1])).alias("low"), F.lit(_hex(s[2])).alias("high")) for s in state])
+    wide = hashed.select(*key, F.explode(each).alias("s")).select(*key, "s.i", "s._hash").withColumn("_o", F.get(open_, F.col("i")))
+    inside = wide.filter((F.col("_hash") >= F.col("_o.low")) & (F.col("_hash") <= F.col("_o.high")))
+    place = F.row_number().over(Window.partitionBy("i").orderBy(*order))
+    wanted = F.get(F.array(*[F.lit(s[0]) for s in state]), F.col("i"))
+    borders = {r["i"]: r for r in inside.withColumn("_place", place).filter(F.col("_place") == wanted).collect()}
+    out = df
+    for i, seed in enumerate(seeds):
+        here = out.withColumn("_hash", hash_position(key, seed))
+        border = [borders[i]["_hash"], *[_literal(df, k, borders[i][k]) for k in key]]
+        out = here.withColumn(f"_test{i}", at_or_before(here, order, border)).drop("_hash")
+    return out
+
+
+def _literal(df: DataFrame, name: str, value):
+    """The number that ``ordinal`` gives for a value of a column."""
+    row = df.sparkSession.createDataFrame([(value,)], T.StructType([df.schema[name]]))
+    return row.select(ordinal(row, name)).first()[0]

@@ -13,12 +13,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from ..models.classify import REGISTRY, ModelSpec
-from ..operators.features import Scaler, drop_warmup, fit_scaler
-from ..operators.split import random_split
+from ..operators.features import FLAT, Scaler, drop_warmup
+from ..operators.split import counted, random_tests
 from ..operators.stats import sample_stats
 
 ROWS_PER_TASK = 20_000
 PARALLEL_FITS = 4
+AT_ONCE = 200
 
 
 def right_sized(df: DataFrame, key: str, rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -54,43 +55,59 @@ class HoldOut:
 
 
 @contextmanager
-def hold_out(
-    df: DataFrame, key: str, features: Sequence[str], label: str, test_size: float = 0.2, seed: int = 42
-) -> Iterator[HoldOut]:
-    """Split, scale and cache for the time of the ``with`` block.
+def hold_outs(
+    df: DataFrame, key: str, features: Sequence[str], label: str, test_size: float = 0.2, seeds: Sequence[int] = (42,)
+) -> Iterator[list[HoldOut]]:
+    """One split per seed over one cached table, for the time of the ``with`` block.
 
-    ``label`` holds class codes 0..k-1. Columns: key, label, raw, scaled.
+    Borders, scalers and sizes of all splits come from the same passes; a split is a comparison with
+    literals. ``label`` holds class codes 0..k-1. Columns: key, label, raw, scaled.
     """
-    features = list(features)
+    features, seeds = list(features), list(seeds)
     base = df.select(key, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
-    sized = right_sized(base, key, base.count())
-    split = random_split(sized, key, test_size, seed)
-    scaler = fit_scaler(split.filter(F.col("part") == "train"), features)
-    scaled = scaler.transform(split, features, "_z")
-    raw_vector = VectorAssembler(inputCols=features, outputCol="raw")
-    scaled_vector = VectorAssembler(inputCols=[f"{c}_z" for c in features], outputCol="scaled")
-    both = scaled_vector.transform(raw_vector.transform(scaled)).select(
-        key, F.col(label).cast("double").alias("label"), "raw", "scaled", "part"
-    )
-    both = both.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        sizes = both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top")).collect()
-        n = {r["part"]: r["n"] for r in sizes}
-        classes = int(max(r["top"] for r in sizes)) + 1
-        yield HoldOut(
-            both.filter(F.col("part") == "train"),
-            both.filter(F.col("part") == "test"),
-            n.get("train", 0),
-            n.get("test", 0),
-            len(features),
-            classes,
-            scaler,
-        )
+        rows = counted(base, [key])
+        sized = right_sized(base, key, rows)
+        marked = random_tests(sized, key, test_size, seeds, rows)
+        found, step = [], max(1, AT_ONCE // (2 * len(features) + 2))
+        for at in range(0, len(seeds), step):
+            aggs = []
+            for i in range(at, min(at + step, len(seeds))):
+                train = ~F.col(f"_test{i}")
+                aggs += [F.count_if(train).alias(f"n{i}")]
+                for j, c in enumerate(features):
+                    value = F.when(train, F.col(c).cast("double"))
+                    aggs += [F.avg(value).alias(f"m{i}_{j}"), F.stddev_pop(value).alias(f"s{i}_{j}")]
+            found.append(marked.agg(F.max(label).alias("top"), *aggs).first().asDict())
+        known = {k: v for part in found for k, v in part.items()}
+        yield [_held(marked, key, features, label, i, known, rows) for i in range(len(seeds))]
     finally:
-        both.unpersist()
         base.unpersist()
 
 
+def _held(marked: DataFrame, key: str, features: list[str], label: str, i: int, known: dict, rows: int) -> HoldOut:
+    # a deviation that is nothing but rounding counts as 1, as in the scaler's own fit
+    spreads = [known[f"s{i}_{j}"] for j in range(len(features))]
+    scaler = Scaler({c: (known[f"m{i}_{j}"], 1.0 if spreads[j] < FLAT else spreads[j]) for j, c in enumerate(features)})
+    raw_vector = VectorAssembler(inputCols=features, outputCol="raw")
+    scaled_vector = VectorAssembler(inputCols=[f"{c}_z" for c in features], outputCol="scaled")
+    both = scaled_vector.transform(raw_vector.transform(scaler.transform(marked, features, "_z")))
+    parts = [
+        both.filter(test).select(key, F.col(label).cast("double").alias("label"), "raw", "scaled") for test in (~F.col(f"_test{i}"), F.col(f"_test{i}"))
+    ]
+    n_train = known[f"n{i}"]
+    return HoldOut(*parts, n_train, rows - n_train, len(features), int(known["top"]) + 1, scaler)
+
+
+@contextmanager
+def hold_out(
+    df: DataFrame, key: str, features: Sequence[str], label: str, test_size: float = 0.2, seed: int = 42
+) -> Iterator[HoldOut]:
+    """Split, scale and cache for the time of the ``with`` block."""
+    with hold_outs(df, key, features, label, test_size, [seed]) as found:
+        yield found[0]
+
+
 def fit_spec(data: HoldOut, spec: ModelSpec, seed: int = 42):
     estimator = spec.build(data.width, data.classes, seed, spec.features, "label")
     return estimator.fit(data.train)
@@ -142,19 +159,13 @@ def run_results(
     seeds: Sequence[int],
     test_size: float = 0.2,
 ) -> DataFrame:
-    """One row per seed, numbered by ``run``; split and model both use the seed."""
-    base = df.select(key, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    """One row per seed, numbered by ``run``; split and model both use the seed.
 
-    def one(numbered: tuple[int, int]) -> tuple:
-        run, seed = numbered
-        with hold_out(base, key, features, label, test_size, seed) as data:
-            return run, seed, *score_spec(data, spec, seed)
-
-    try:
-        base.count()
-        rows = in_parallel(one, enumerate(seeds))
-    finally:
-        base.unpersist()
+    The splits of all seeds are found together; the models are then fitted from the same cached table.
+    """
+    seeds = list(seeds)
+    with hold_outs(df, key, features, label, test_size, seeds) as data:
+        rows = in_parallel(lambda i: (i, seeds[i], *score_spec(data[i], spec, seeds[i])), range(len(seeds)))
     return df.sparkSession.createDataFrame(rows, f"run int, seed int, {MATRIX}")
 
 

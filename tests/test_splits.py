@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fitgrid.operators.split import ordered_split, random_split
+from fitgrid.operators.split import ordered_split, random_split, random_tests
+from fitgrid.plans.evaluation import hold_outs
 from fitgrid.plans.running import global_rank, running_totals
 from fitgrid.plans.selection import at_or_before, kth_row
 
@@ -118,3 +119,34 @@ def test_split_shares_match_rounding(spark):
     for n, ratio in ((10, 0.25), (7, 0.5), (1, 0.8)):
         df = ordered_split(spark.range(n), ["id"], ratio)
         assert df.filter("part = 'train'").count() == math.floor(n * ratio)
+
+
+@pytest.mark.parametrize("sort_below", [200_000, 20])
+def test_splits_of_many_seeds_together(spark, sort_below):
+    rows = spark.range(700).selectExpr("concat('k', id % 350) as a", "id as b")
+    seeds = [3, 4, 5]
+    marked = random_tests(rows, ["a", "b"], 0.3, seeds, sort_below=sort_below).collect()
+    for i, seed in enumerate(seeds):
+        alone = {(r["a"], r["b"]): r["part"] == "test" for r in random_split(rows, ["a", "b"], 0.3, seed).collect()}
+        assert {(r["a"], r["b"]): r[f"_test{i}"] for r in marked} == alone
+    same = rows.withColumn("b", F.lit(1)).withColumn("a", F.lit("x"))
+    assert random_tests(same, "a", 0.3, [1], sort_below=20).filter("_test0").count() == 700
+    assert random_tests(rows.limit(0), "a", 0.3, [1]).count() == 0
+
+
+def test_three_seeds_read_the_table_as_often_as_one(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    def read(seeds):
+        before = reads.value
+        rows = spark.range(500).selectExpr("id", "cast(id as double) as x", "cast(id % 2 as int) as label").mapInArrow(seen, "id long, x double, label int")
+        with hold_outs(rows, "id", ["x"], "label", 0.2, seeds) as data:
+            assert [(d.n_train, d.n_test, d.train.count(), d.test.count()) for d in data] == [(400, 100, 400, 100)] * len(seeds)
+        return reads.value - before
+
+    assert read([1]) == read([1, 2, 3]) == 500
