@@ -9,8 +9,10 @@ literals, so every job sees the same ranges, also after a task is run again.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -20,6 +22,7 @@ ROWS_PER_RANGE = 500_000
 MAX_RANGES = 10_000
 SAMPLED_PER_RANGE = 20
 FINER = 100
+CUT_LENGTH = 32
 
 
 def cut_points(df: DataFrame, col: Column, ranges: int) -> list[float]:
@@ -42,36 +45,50 @@ def with_range(df: DataFrame, order: Column, ranges: int, out: str = "_range") -
 
 
 def with_text_range(df: DataFrame, order: Column, ranges: int, rows: int, out: str = "_range") -> DataFrame:
-    """``with_range`` for text: cut points from a sorted sample of bounded size."""
+    """``with_range`` for text: cut points from a sorted sample of bounded size, searched by bisection.
+
+    The cuts travel with the function, not in the plan; a cut is at most ``CUT_LENGTH`` characters long.
+    """
     wanted = SAMPLED_PER_RANGE * ranges
-    found = df.select(order.alias("v")).sample(fraction=min(1.0, wanted / rows), seed=ranges).collect()
-    values = sorted((r["v"] for r in found), key=lambda v: v.encode())
-    cuts = sorted({values[len(values) * i // ranges] for i in range(1, ranges)} if values else (), key=lambda v: v.encode())
+    sampled = df.select(F.left(order, F.lit(CUT_LENGTH)).alias("v")).sample(fraction=min(1.0, wanted / rows), seed=ranges).collect()
+    values = sorted(r["v"] for r in sampled)  # code points order like bytes
+    cuts = sorted({values[len(values) * i // ranges] for i in range(1, ranges)} if values else ())
     if not cuts:
         return df.withColumn(out, F.lit(0))
-    below = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (c < order).cast("int"))
-    return df.withColumn(out, below)
+
+    @F.arrow_udf("int")
+    def below(texts: pa.Array) -> pa.Array:
+        return pa.array([bisect_left(cuts, t) for t in texts.to_pylist()], pa.int32())
+
+    return df.withColumn(out, below(order))
 
 
 def with_part(ranged: DataFrame, order: Column, rows_per_range: int, text: bool) -> DataFrame:
     """Cut ranges that hold too many rows once more, into up to ``FINER`` parts each.
 
-    There are at most ``MAX_RANGES`` ranges, so their cut points fit a broadcast. Equal order
-    values stay together, and ranges of text stay as they are.
+    There are at most ``MAX_RANGES`` ranges, so their cut points fit a broadcast: numbers by a sketch per
+    range, texts from a hashed sample of each, of bounded number and length. Equal order values stay together.
     """
     whole = ranged.withColumn("_part", F.lit(0))
-    if text:
-        return whole
-    large = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * rows_per_range).select("_range")
-    large = [r["_range"] for r in large.collect()]
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * rows_per_range)
+    large = [(r["_range"], r["n"]) for r in sizes.collect()]
     if not large:
         return whole
-    some = ranged.sparkSession.createDataFrame([(r,) for r in large], "_range int")
-    probs = [i / FINER for i in range(1, FINER)]
+    some = ranged.sparkSession.createDataFrame(large, "_range int, _n bigint")
     inside = ranged.join(F.broadcast(some), "_range")
-    cuts = inside.groupBy("_range").agg(F.percentile_approx(order.cast("double"), probs, 10_000).alias("_cuts"))
+    if text:
+        chosen = F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.floor(F.col("_n") / (FINER * FINER)))) == 0
+        values = F.array_sort(F.collect_set(F.left(order, F.lit(CUT_LENGTH))))
+        sampled = inside.filter(chosen).groupBy("_range").agg(values.alias("_all"))
+        step = F.greatest(F.lit(1), F.floor(F.size("_all") / FINER)).cast("int")
+        cuts = sampled.select("_range", F.filter("_all", lambda v, i: i % step == step - 1).alias("_cuts"))
+        value = order
+    else:
+        probs = [i / FINER for i in range(1, FINER)]
+        value = order.cast("double")
+        cuts = inside.groupBy("_range").agg(F.percentile_approx(value, probs, 10_000).alias("_cuts"))
     joined = ranged.join(F.broadcast(cuts), "_range", "left")
-    part = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < order.cast("double")).cast("int"))
+    part = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < value).cast("int"))
     return joined.withColumn("_part", F.coalesce(part, F.lit(0))).drop("_cuts")
 
 

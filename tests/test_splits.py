@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fitgrid.operators.split import ordered_split, random_split, random_tests
 from fitgrid.plans.evaluation import hold_outs
-from fitgrid.plans.running import global_rank, running_totals
+from fitgrid.plans.running import global_rank, running_totals, with_part
 from fitgrid.plans.selection import at_or_before, kth_row
 
 
@@ -150,3 +150,15 @@ def test_three_seeds_read_the_table_as_often_as_one(spark):
         return reads.value - before
 
     assert read([1]) == read([1, 2, 3]) == 500
+
+
+@pytest.mark.parametrize("max_ranges", [3, 40])
+def test_text_ranges_are_cut_again_and_stay_out_of_the_plan(spark, max_ranges):
+    texts = [f"{'prefix' * (i % 3)}ß{i * 7919 % 3000:05d}" + "x" * (i % 50) for i in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").repartition(6)
+    ranked = running_totals(df, ["s"], {"t": F.lit(1).cast("bigint")}, rows_per_range=30, max_ranges=max_ranges)
+    assert "prefixß" not in ranked._jdf.queryExecution().toString()
+    assert {r["s"]: r["t"] for r in ranked.collect()} == {s: i + 1 for i, s in enumerate(sorted(texts))}
+    part = with_part(df.withColumn("_range", F.lit(0)), F.col("s"), 30, True)
+    sizes = [r["count"] for r in part.groupBy("_part").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 600
