@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -98,3 +99,51 @@ def test_query_on_held_out_documents(spark, sf):
     held = [r for r in rows if r["held_out"]]
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.98
     assert np.mean([r["rejected"] for r in held]) < 0.01
+
+
+def slow_scores(model, text):
+    """Subword by subword: hash, embedding row, average, softmax."""
+    marks = [0]
+    for char in (text or "").lower() + " ":
+        if char.isalpha():
+            marks.append(ord(char))
+        elif marks[-1]:
+            marks.append(0)
+    total, count = [0.0] * len(model.languages), 0
+    for start in range(len(marks)):
+        key = 0
+        for width in range(1, 5):
+            if start + width > len(marks):
+                break
+            run = marks[start : start + width]
+            key = (key + run[-1] + 1) * int(langid.MIX) % 2**64
+            key ^= key >> 29
+            if (run[0] or run[-1]) and all(run[1:-1]):
+                row = model.table[(key >> 40) % len(model.table)]
+                total = [t + float(r) for t, r in zip(total, row)]
+                count += 1
+    if not count:
+        return None
+    logits = [(t / count + float(b)) / model.temperature for t, b in zip(total, model.bias)]
+    each = [math.exp(v - max(logits)) for v in logits]
+    return [e / sum(each) for e in each]
+
+
+def test_predictions_equal_a_plain_loop(spark, sf, model, hard_docs):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    texts += [r["text"] for r in hard_docs.collect()] + ["a", "Ä-ö", "x1y", "İstanbul ǅ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in langid.identify(docs, model).collect():
+        want = slow_scores(model, r["text"])
+        if want is None:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+        else:
+            assert r["score"] == pytest.approx(max(want), abs=1e-6)
+            assert r["lang_pred"] == model.languages[int(np.argmax(want))] or sorted(want)[-1] - sorted(want)[-2] < 1e-6
+            assert r["rejected"] == (r["score"] < model.limit)
+
+
+def test_clashing_columns_are_replaced(spark, model):
+    docs = spark.createDataFrame([(1, "the house", "a", 2, "c")], "doc_id bigint, text string, lang_pred string, score int, Rejected string")
+    found = langid.identify(docs, model)
+    assert found.columns == ["doc_id", "text", "lang_pred", "score", "rejected"] and found.first()["lang_pred"] == "en"
