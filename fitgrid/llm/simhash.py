@@ -198,17 +198,20 @@ def near_duplicates(
     return marked.join(named, "_fp").select(key, F.col("_fp").alias("fingerprint"), "group", "component_id")
 
 
-def keep_first(docs: DataFrame, find: Callable[[DataFrame, str], DataFrame], key: str, column: str) -> DataFrame:
+def keep_first(docs: DataFrame, find: Callable[[DataFrame, str, str], DataFrame], key: str, column: str) -> DataFrame:
     """The row of ``docs`` with the least key in each group; null keys last, then by the text's hash.
 
-    ``find`` takes rows and the name of their key and gives ``component_id``, the least key of
-    each row's group. A key alone may stand for several texts, so a row goes by key and text.
+    ``find`` takes rows and the names of their key and text and gives ``component_id``, the least key of
+    each row's group. A key alone may stand for several texts, so a row goes by key and text. Columns may have
+    any name: they are set aside meanwhile.
     """
+    held = docs.toDF(*[f"_column{i}" for i in range(len(docs.columns))])
+    key, column = (held.columns[docs.columns.index(c)] for c in (key, column))
     place = F.struct(
         F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(column).alias("t"), F.xxhash64(F.lit(1), column).alias("u")
     )
-    rows = docs.withColumn("_row", place)
-    found = find(rows, "_row")
+    rows = held.withColumn("_row", place)
+    found = find(rows, "_row", column)
     first = found.filter(F.col("_row") == F.col("component_id")).groupBy("_row").agg(F.count(F.lit(1)).alias("_rows"))
     first = materialise(first.select(*[F.col(f"_row.{c}").alias(f"_{c}") for c in ("none", "key", "t", "u")], "_rows"), "kept")
 
@@ -216,15 +219,15 @@ def keep_first(docs: DataFrame, find: Callable[[DataFrame, str], DataFrame], key
         same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row.t") == F.col("_t")) & (F.col("_row.u") == F.col("_u"))
         return rows.join(part, same, "left_semi")
 
-    kept = chosen(first.filter("_rows = 1")).select(*docs.columns)
-    if first.filter("_rows > 1").isEmpty():
-        return kept
-    whole = F.any_value(F.struct(*docs.columns)).alias("_whole")
-    return kept.unionByName(chosen(first.filter("_rows > 1")).groupBy("_row").agg(whole).select("_whole.*"))
+    kept = chosen(first.filter("_rows = 1")).select(*held.columns)
+    if not first.filter("_rows > 1").isEmpty():
+        whole = F.any_value(F.struct(*held.columns)).alias("_whole")
+        kept = kept.unionByName(chosen(first.filter("_rows > 1")).groupBy("_row").agg(whole).select("_whole.*"))
+    return kept.toDF(*docs.columns)
 
 
 def one_per_group(
     docs: DataFrame, key: str = "doc_id", column: str = "text", radius: int = RADIUS, width: int = SHINGLE
 ) -> DataFrame:
     """The rows of ``docs`` that are left when one document of each group stays, by ``keep_first``."""
-    return keep_first(docs, lambda rows, row: near_duplicates(rows, row, column, radius, width), key, column)
+    return keep_first(docs, lambda rows, row, text: near_duplicates(rows, row, text, radius, width), key, column)

@@ -68,3 +68,20 @@ def test_stage_against_all_pairs_of_a_table(spark, sf):
     rows = sorted(docs.select("doc_id", "text").collect())
     left = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).select("doc_id").collect())
     assert left == [rows[i]["doc_id"] for i in slow_first([r["text"] for r in rows])]
+
+
+def test_hard_rows_and_any_column_names(spark, hard_docs):
+    docs = hard_docs.withColumnsRenamed({"lang": "_row", "source": "_key", "n_chars": "component_id", "other": "_text"})
+    left = near_copies.one_per_group(docs)
+    assert left.columns == docs.columns
+    rows = {r["doc_id"]: r for r in left.collect()}
+    texts = {r["doc_id"]: r for r in docs.filter("doc_id is not null").collect()}
+    # 0 to 3 have no word, 8 and 9 (and the row without an id) are equal, 4 is there twice
+    assert sorted(rows) == [0, 4, 5, 6, 7, 8, 10] and left.count() == 7
+    assert all(rows[k] == texts[k] for k in rows)
+
+
+def test_null_keys_only_and_empty_tables(spark, empty_docs):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "else")], "doc_id bigint, text string")
+    assert sorted(r["text"] for r in near_copies.one_per_group(docs).collect()) == ["a b c d e f", "else"]
+    assert near_copies.one_per_group(empty_docs).count() == 0 and near_copies.near_copies(empty_docs).count() == 0
