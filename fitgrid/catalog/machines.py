@@ -231,7 +231,7 @@ def m08c(spark, sf):
     """Weights and loss after one epoch, whose four steps are jobs."""
     x0, x1 = F.col("p_size") / 50, (F.col("p_retailprice") - 900) / 1000
     rows = table(spark, sf, "part").select("p_partkey", F.array(x0, x1).alias("x"), F.when(x0 + x1 > 1, 1).otherwise(0).alias("y"))
-    model = mlp.Perceptron(2, (3,), "x", "y", max_iter=1, seed=SEED, key="p_partkey", steps=STEPS, in_task_rows=0).fit(rows)
+    model = mlp.Perceptron(2, (3,), "x", "y", max_iter=1, seed=SEED, key="p_partkey", steps=STEPS, in_task_values=0).fit(rows)
     (first, bias), (second, out_bias) = model.weights()
     found = [(f"w{i}{j}", first[i, j]) for i in range(2) for j in range(3)] + [(f"b{j}", bias[j]) for j in range(3)]
     found += [(f"v{j}{k}", second[j, k]) for j in range(3) for k in range(2)] + [(f"c{k}", out_bias[k]) for k in range(2)]

@@ -25,7 +25,7 @@ from .kmeans import _key_halves
 from .svm import as_array
 
 BATCH_ROWS = 200
-IN_TASK_ROWS = 20_000
+IN_TASK_VALUES = 1 << 20
 MOST_STEPS = 32
 PATIENCE = 10
 # Adam's defaults and the penalty of the weights.
@@ -141,12 +141,12 @@ class Perceptron(Estimator):
 
     def __init__(
         self, classes=2, hidden=(100, 50), features="features", label="label", max_iter=500, tol=1e-4, seed=42, key=None,
-        batch_rows=BATCH_ROWS, steps=None, in_task_rows=IN_TASK_ROWS, most_steps=MOST_STEPS,
+        batch_rows=BATCH_ROWS, steps=None, in_task_values=IN_TASK_VALUES, most_steps=MOST_STEPS,
     ):
         super().__init__()
         self.classes, self.hidden, self.features, self.label = classes, tuple(hidden), features, label
         self.max_iter, self.tol, self.seed, self.key = max_iter, tol, seed, key
-        self.batch_rows, self.steps, self.in_task_rows, self.most_steps = batch_rows, steps, in_task_rows, most_steps
+        self.batch_rows, self.steps, self.in_task_values, self.most_steps = batch_rows, steps, in_task_values, most_steps
 
     def _fit(self, df: DataFrame) -> PerceptronModel:
         x = as_array(df, self.features)
@@ -157,7 +157,7 @@ class Perceptron(Estimator):
             count, width = complete_vectors(rows)
             steps = self.steps or math.ceil(count / self.batch_rows)
             training = Training([width, *self.hidden, self.classes], self.seed, self.tol)
-            if count <= self.in_task_rows:
+            if count * width <= self.in_task_values:
                 self._in_task(rows, training, steps)
             else:
                 self._in_jobs(rows, training, self.steps or min(steps, self.most_steps))
@@ -166,7 +166,7 @@ class Perceptron(Estimator):
         return PerceptronModel(training.layers, training.flat, training.losses, self.features)
 
     def _in_task(self, rows: DataFrame, training: Training, steps: int) -> None:
-        """The whole table is a few thousand rows: all steps run in one task."""
+        """The whole table is a few megabytes at most: all steps run in one task."""
         epochs = self.max_iter
 
         def run(batches):

@@ -36,7 +36,7 @@ def test_slopes_are_those_of_the_loss():
 def test_steps_in_a_task_and_in_jobs_agree(points):
     _, _, df = points
     one, many = (
-        mlp.Perceptron(3, (6,), max_iter=3, key="id", steps=3, in_task_rows=n).fit(df) for n in (10**6, 0)
+        mlp.Perceptron(3, (6,), max_iter=3, key="id", steps=3, in_task_values=n).fit(df) for n in (10**6, 0)
     )
     assert np.allclose(one.flat, many.flat, atol=1e-9) and np.allclose(one.losses, many.losses)
 
