@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fitgrid.llm import langid, line_dedup, near_copies, packing, quality
+from fitgrid.llm import langid, line_dedup, near_copies, packing, quality, simhash
 from fitgrid.llm.batches import filter_computed
 from fitgrid.llm.queries import PLAIN
 from fitgrid.session import materialise
@@ -53,10 +53,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 at least."""
+    """One document of each group of near copies: found by SimHash over shingles of five words, similarity 0.8 at least.
+
+    Fingerprints are compared by ``simhash.links``, as in ``op10``; sets of shingles decide, and find the copies
+    whose fingerprints are further apart.
+    """
     held = aside(docs)
     key, text = (held.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
-    return near_copies.one_per_group(held, key, text).toDF(*docs.columns)
+    return near_copies.one_per_group(held, key, text, radius=simhash.RADIUS).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

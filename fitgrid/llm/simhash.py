@@ -12,7 +12,7 @@ split by population count, and further by a hash, so no task holds it whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,28 +34,39 @@ BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Majority bits of the hashes of all shingles, as a signed 64-bit integer."""
+def hashes(text: str | None, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of all shingles in their order, in bounded parts; a shorter text is one shingle."""
     words = BLANK.split((text or "").encode().translate(LOWER).strip(b" \t\n\v\f\r"))
     if words == [b""]:
-        return 0
+        return
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = ends - sizes + 1
     width = min(width, len(words))
     count = len(words) - width + 1
-    bits = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, count, HASHES):
         upto = min(count, at + HASHES)
         first, last = starts[at:upto].tolist(), ends[at + width - 1 : upto + width - 1].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], dtype=np.uint64)
-        octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], dtype=np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half the hashes, as a signed 64-bit integer."""
+    bits, count = np.zeros(64, dtype=np.int64), 0
+    for part in parts:
+        octets = part.astype("<u8").view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += len(part)
     return int(np.packbits(2 * bits > count, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """Majority bits of the hashes of all shingles, as a signed 64-bit integer."""
+    return majority(hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, column: str = "text", out: str = "fingerprint", width: int = SHINGLE) -> DataFrame:
     """Add the fingerprint of every whole text as ``bigint``.
 

@@ -63,6 +63,37 @@ def test_stage_finds_copies_with_changed_words(spark, make_docs):
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").orderBy("doc_id").collect()] == [0, 2]
 
 
+def test_fingerprints_put_sets_together(spark):
+    sets = spark.createDataFrame([(5, 10, 0), (3, 9, 0), (7, 10, 0b1111), (9, 10, 0b11111 << 40), (2, 8, -1)], "id bigint, n int, fp bigint")
+    found = {(r["id"], r["n"], r["id2"], r["n2"]) for r in near_copies.alike(sets).collect()}
+    assert {frozenset([(a, n), (b, m)]) for a, n, b, m in found} == {frozenset([(5, 10), (3, 9)]), frozenset([(7, 10), (3, 9)])}
+
+
+def test_stage_finds_copies_by_fingerprints(spark, make_docs, monkeypatch):
+    met, links = [], simhash.links
+
+    def seen(prints, column, radius, cell_rows):
+        found = links(prints, column, radius, cell_rows)
+        met.extend((r["a"], r["b"]) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(simhash, "links", seen)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-3]), "quite another text that shares nothing with them"]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert prints[0] != prints[1] and ((prints[0] ^ prints[1]) & (2**64 - 1)).bit_count() <= simhash.RADIUS
+    left = corpus_pipeline.drop_near_copies(spark, make_docs(texts), "")
+    assert [r["doc_id"] for r in left.orderBy("doc_id").collect()] == [0, 2]
+    assert {frozenset(p) for p in met} == {frozenset(prints[:2])}
+
+
+@pytest.mark.parametrize("radius", [0, 9])
+def test_groups_do_not_depend_on_the_radius(spark, make_docs, radius):
+    texts = corpus(7)
+    found = near_copies.one_per_group(make_docs(texts), crowd=5, radius=radius)
+    assert sorted(r["doc_id"] for r in found.collect()) == slow_first(texts)
+
+
 def test_stage_against_all_pairs_of_a_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted(docs.select("doc_id", "text").collect())
