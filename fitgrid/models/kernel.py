@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import doubles, squared_distance
 from ..plans.sums import rows_as_matrix
-from .svm import as_array
+from .svm import as_array, slice_rows
 
 MAX_LANDMARKS = 1_000
 
@@ -46,6 +46,18 @@ def rbf_weights(d: int, n_features: int, gamma: float, seed: int) -> tuple[np.nd
     return rng.normal(0.0, np.sqrt(2.0 * gamma), (d, n_features)), rng.uniform(0.0, 2.0 * np.pi, n_features)
 
 
+def fourier(points: np.ndarray, weights: np.ndarray, phases: np.ndarray) -> np.ndarray:
+    """Features of all points; what comes between is made for a slice of them at a time."""
+    mapped = np.empty((len(points), len(phases)))
+    step = slice_rows(len(phases))
+    for at in range(0, len(points), step):
+        angle = points[at : at + step] @ weights
+        angle += phases
+        np.cos(angle, out=mapped[at : at + step])
+    mapped *= np.sqrt(2.0 / len(phases))
+    return mapped
+
+
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol):
     """Pipeline stage: random Fourier features of a vector or array column, as an array."""
 
@@ -67,7 +79,7 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol):
                 points = rows_as_matrix(x)
                 if drawn is None:
                     drawn = rbf_weights(points.shape[1], n_features, gamma, seed)
-                mapped = np.sqrt(2.0 / n_features) * np.cos(points @ drawn[0] + drawn[1])
+                mapped = fourier(points, *drawn)
                 ends = np.arange(0, mapped.size + 1, n_features, dtype=np.int32)
                 yield pa.ListArray.from_arrays(ends, mapped.ravel())
 

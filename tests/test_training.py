@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fitgrid.models import kmeans, mlp
+from fitgrid.models import kernel, kmeans, mlp, svm
 from fitgrid.models.classify import mlp_forward
 from fitgrid.models.kmeans import Centres, fit_kmeans_best_of, lloyd
 from fitgrid.models.svm import LinearMachine, machines, sides
@@ -56,6 +58,36 @@ def test_perceptron_learns_and_stops(points):
         assert r["probability"] == pytest.approx(s["p"])
 
 
+def test_machines_see_bounded_slices(points, monkeypatch):
+    x, y, df = points
+    seen = svm.partition_sums
+
+    def checked(rows, block, partitions, *most):
+        def small(batch):
+            if batch.num_rows > 10:
+                raise AssertionError("more rows than a slice")
+            return block(batch)
+
+        return seen(rows, small, partitions, *most)
+
+    whole = [LinearMachine(classes=3, moment_bytes=b).fit(df).weights for b in (1 << 20, 0)]
+    monkeypatch.setattr(svm, "SLICE_VALUES", 40)
+    monkeypatch.setattr(svm, "partition_sums", checked)
+    sliced = [LinearMachine(classes=3, moment_bytes=b).fit(df).weights for b in (1 << 20, 0)]
+    assert np.allclose(whole, sliced, atol=1e-6)
+
+
+def test_fourier_features_need_little_beside_themselves():
+    points = np.random.default_rng(3).normal(size=(20_000, 8))
+    weights, phases = kernel.rbf_weights(8, 200, 0.5, 1)
+    tracemalloc.start()
+    found = kernel.fourier(points, weights, phases)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.2 * found.nbytes
+    assert np.allclose(found, np.sqrt(2.0 / 200) * np.cos(points @ weights + phases), atol=1e-12)
+
+
 def test_pairs_against_each_machine_alone(points):
     x, y, df = points
     model = LinearMachine(classes=3, vote="pairs").fit(df)
